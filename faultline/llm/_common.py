@@ -10,8 +10,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,23 @@ _SETTINGS = {
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_shipped: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
+    """Set what Python stages need, and ship this package to the executors once per application."""
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        root = Path(__file__).resolve().parents[2]
+        folder = tempfile.mkdtemp(prefix="faultline-code-")
+        atexit.register(shutil.rmtree, folder, True)
+        with zipfile.ZipFile(f"{folder}/faultline.zip", "w") as archive:
+            for path in (root / "faultline").rglob("*.py"):
+                archive.write(path, path.relative_to(root))
+        spark.sparkContext.addPyFile(f"{folder}/faultline.zip")
     return spark
 
 
@@ -73,7 +89,7 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to a scratch table and read it back: a recoverable cut in the lineage."""
-    spark = df.sparkSession
+    spark = tune(df.sparkSession)
     path = scratch_path(spark, name)
     with shuffles_freed(spark):
         df.write.option("compression", "zstd").parquet(path)

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.llm._common import tune
+
 _NONE = 1 << 62
 _CACHE_ENTRIES, _CACHE_CHARS = 400_000, 64
 
@@ -121,6 +123,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def _mapped(df: DataFrame, source: str, outputs: dict[str, T.DataType], make) -> DataFrame:
     """df with columns made from one source column, batch by batch."""
+    tune(df.sparkSession)
     kept = [c for c in df.columns if c.lower() not in outputs]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, t) for c, t in outputs.items()])
 

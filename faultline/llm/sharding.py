@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm._common import id_key, scratch_path, shuffles_freed
+from faultline.llm._common import id_key, scratch_path, shuffles_freed, tune
 
 _ADDED = ("size", "text_crc32", "shard", "slot")
 
@@ -55,7 +55,7 @@ def write_shards(
     bucket_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Write docs to path, partitioned by shard, each with its slot; return what was written."""
-    spark = docs.sparkSession
+    spark = tune(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in _ADDED]
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     sized = docs.select(

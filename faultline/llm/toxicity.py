@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm._common import id_key, keep
+from faultline.llm._common import id_key, keep, tune
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _BLOCK = 64
@@ -247,7 +247,7 @@ def score(
 
     evidence: the three nearest labelled examples with their cosines and labels.
     """
-    spark = docs.sparkSession
+    spark = tune(docs.sparkSession)
     named = docs.select(F.col(columns.get("doc_id", "doc_id")).alias("doc_id"), F.col(columns.get("text", "text")).alias("text"))
     rows, totals = sample(named, labels, max_per_label)
     terms = vocabulary(rows, min_rate, min_ratio, max_terms)

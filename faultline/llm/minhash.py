@@ -12,8 +12,6 @@ whose pair with the hub fails form further stars among themselves, until no
 bucket has an untested member left.  Pairs are confirmed on their full sets, and
 components follow from the confirmed links.
 
-Sets below six shingles can only be linked with equal sets, so they have no bands.
-
 Cases: a text that is null or without words has an empty set and is linked with
 nothing.  With fewer than five words, the whole sequence is the one shingle.
 Rows that share an id are one document, linked with each other.  A null id
@@ -77,7 +75,7 @@ def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
 
 
 def band_hashes(sets: np.ndarray) -> np.ndarray:
-    if len(sets) < 6:
+    if not len(sets):
         return np.zeros(0, np.int64)
     starts = np.concatenate(([0], np.searchsorted(sets, _EDGES)))
     full = starts < np.append(starts[1:], len(sets))

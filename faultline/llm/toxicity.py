@@ -134,7 +134,7 @@ def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_per_label: int) -> tuple[list, dict[int, int]]:
+def sample(docs: DataFrame, labels: DataFrame, max_per_label: int) -> tuple[DataFrame, dict[int, int]]:
     """Terms of the sampled labelled rows, and how many rows each label has to teach from."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")
@@ -149,21 +149,25 @@ def sample(docs: DataFrame, labels: DataFrame, max_per_label: int) -> tuple[list
         .select("doc_id", "label", "text")
         .mapInArrow(_sampled_terms, "doc_id long, label int, terms array<string>, counts array<int>")
     )
-    return sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0], r[1], r[2])), totals
+    return keep(rows, "label-terms"), totals
 
 
-def vocabulary(rows: list, min_rate: float, min_ratio: float, max_terms: int) -> list[str]:
-    found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    n = [0, 0]
-    for _, label, terms, _counts in rows:
-        n[label] += 1
-        found[label].update(terms)
-    gaps = []
-    for term in found[0].keys() | found[1].keys():
-        a, b = (found[y][term] / max(n[y], 1) for y in (0, 1))
-        if max(a, b) >= min_rate and max(a, b) >= min_ratio * min(a, b):
-            gaps.append((-abs(a - b), term))
-    return [term for _, term in sorted(gaps)[:max_terms]]
+def vocabulary(rows: DataFrame, min_rate: float, min_ratio: float, max_terms: int) -> list[str]:
+    """The terms whose document rates differ most; rates are compared where the terms are counted."""
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    found = rows.select("label", F.explode("terms").alias("term")).groupBy("term")
+    counted = found.agg(*[F.count_if(F.col("label") == y).alias(f"n{y}") for y in (0, 1)])
+    a, b = (F.col(f"n{y}") / max(n.get(y, 0), 1) for y in (0, 1))
+    telling = (F.greatest(a, b) >= min_rate) & (F.greatest(a, b) >= min_ratio * F.least(a, b))
+    return [r["term"] for r in counted.where(telling).orderBy(F.abs(a - b).desc(), "term").limit(max_terms).collect()]
+
+
+def example_vectors(rows: DataFrame, terms: list[str]) -> list[tuple]:
+    """(doc_id, label, terms, counts) of the sampled rows, of vocabulary terms only."""
+    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    both = F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(wanted, x["terms"]))
+    cut = rows.select("doc_id", "label", both["terms"].alias("terms"), both["counts"].alias("counts"))
+    return sorted((tuple(r) for r in cut.collect()), key=lambda r: (r[0], r[1], r[2]))
 
 
 def document_vectors(docs: DataFrame, terms: list[str], **columns: str) -> DataFrame:
@@ -251,9 +255,10 @@ def score(
     named = docs.select(F.col(columns.get("doc_id", "doc_id")).alias("doc_id"), F.col(columns.get("text", "text")).alias("text"))
     rows, totals = sample(named, labels, max_per_label)
     terms = vocabulary(rows, min_rate, min_ratio, max_terms)
+    examples = example_vectors(rows, terms)
     vectors = keep(document_vectors(named, terms), "term-counts")
     frequency = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
-    shared = spark.sparkContext.broadcast(fit(rows, totals, terms, frequency, vectors.count(), k))
+    shared = spark.sparkContext.broadcast(fit(examples, totals, terms, frequency, vectors.count(), k))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
-A text's terms are its lower-cased words cut to 4 and to 6 letters.  The model is
-fitted on a bounded sample of labelled rows (``max_per_label`` of each label):
+A text's terms are its lower-cased words cut to 4 and to 6 letters; a term that
+occurs twice, or four times, adds a term of that level.  The model is fitted on a bounded sample of labelled rows (``max_per_label`` of each label):
 
 * vocabulary: the terms whose document rates under the two labels differ by a
   factor of ``min_ratio`` or more and reach ``min_rate`` under one of them, the
@@ -41,6 +41,7 @@ from faultline.llm._common import id_key, keep, tune
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _BLOCK = 64
 _PRIOR_WEIGHT = 1.0
+_LEVELS = ((1, ""), (2, "+"), (4, "++"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,12 +53,17 @@ def word_terms(word: str) -> tuple[str, ...]:
     return (word[:4], word[:6]) if len(word) > 4 else (word,)
 
 
-def terms_of(text: str) -> Counter[str]:
+def with_levels(term: str, n: int) -> list[str]:
+    """The term, and a term of its own for two and for four occurrences or more."""
+    return [term + mark for least, mark in _LEVELS if n >= least]
+
+
+def terms_of(text: str) -> dict[str, int]:
     found: Counter[str] = Counter()
     for word, n in Counter(_WORDS(text.lower())).items():
         for term in word_terms(word):
             found[term] += n
-    return found
+    return {level: n for term, n in found.items() for level in with_levels(term, n)}
 
 
 @dataclass
@@ -176,22 +182,24 @@ def document_vectors(docs: DataFrame, terms: list[str], **columns: str) -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        known: dict[str, tuple[int, ...]] = {}
+        wanted = {t.rstrip("+") for t in index}
+        known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             ids, held, texts = batch.columns
             at, counts = [], []
             for text in texts.to_pylist():
-                found: dict[int, int] = {}
+                found: dict[str, int] = {}
                 for word, n in Counter(_WORDS((text or "").lower())).items():
                     hit = known.get(word)
                     if hit is None:
-                        hit = tuple(index[t] for t in word_terms(word) if t in index)
+                        hit = tuple(t for t in word_terms(word) if t in wanted)
                         if len(known) < 500_000:
                             known[word] = hit
                     for t in hit:
                         found[t] = found.get(t, 0) + n
-                at.append(sorted(found))
-                counts.append([found[t] for t in at[-1]])
+                levels = {index[x]: n for t, n in found.items() for x in with_levels(t, n) if x in index}
+                at.append(sorted(levels))
+                counts.append([levels[t] for t in at[-1]])
             yield pa.RecordBatch.from_arrays(
                 [ids, held, pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
                 names=["doc_id", "held_out", "terms", "counts"],

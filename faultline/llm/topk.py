@@ -98,7 +98,8 @@ def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """For each query, the sum over terms of the most that a vector of the block can add."""
-    return products(np.maximum(queries, 0), high[None]).ravel() + products(np.minimum(queries, 0), low[None]).ravel()
+    signed = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
+    return products(signed, np.concatenate([high, low])[None]).ravel()
 
 
 def search_blocks(query_ids: np.ndarray, queries: np.ndarray, blocks: list[dict], k: int) -> tuple[list, int]:

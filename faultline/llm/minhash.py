@@ -7,10 +7,11 @@ bins make a band; documents that share a band's hash share a bucket.
 
 Documents with equal sets are one class, kept by its smallest id.  In each bucket
 the candidate pairs form a star around the bucket's hub, the class that shares
-most buckets, so a bucket gives one pair per member and not all pairs.  Members
-whose pair with the hub fails form further stars among themselves, until no
-bucket has an untested member left.  Pairs are confirmed on their full sets, and
-components follow from the confirmed links.
+most buckets, so a bucket gives one pair per member and not all pairs.  Pairs are
+confirmed on their full sets.  Members that these links leave outside their hub's
+component then meet all members of the star in blocks of bounded size, and only
+links between components leave a block, so that no similar pair that shares a
+bucket is lost.  Components follow from the confirmed links.
 
 Cases: a text that is null or without words has an empty set and is linked with
 nothing.  With fewer than five words, the whole sequence is the one shingle.
@@ -21,6 +22,7 @@ an empty table.  Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ from faultline.llm.components import components
 
 WORDS, BINS, ROWS = 5, 192, 6
 BANDS = BINS // ROWS
+_BLOCK_ROWS, _BLOCK_SHINGLES, _COLUMNS = 256, 1 << 20, 4096
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _RANDOM = np.random.default_rng(7)
 _MULTIPLIERS = _RANDOM.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,65 +117,160 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        found = [shingles(t or b"", hashes).view(np.int64) for t in batch.columns[1].to_pylist()]
+        once = dict.fromkeys(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made = [(d, shingles(t or b"", hashes).view(np.int64)) for d, t in once]
+        ids, found = [d for d, x in made if len(x)], [x for _, x in made if len(x)]
         offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
         values = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
         yield pa.RecordBatch.from_arrays(
-            [batch.columns[0], pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "set"]
+            [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "set"]
         )
 
 
-def _confirmed(pairs: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """pairs (hub, node) with ok: whether 100 * intersection >= percent * union on full sets."""
-    nodes = keep(pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct(), "near-nodes")
-    sets = keep(
-        keyed.join(nodes, keyed["_d"] == nodes["node"], "left_semi").mapInArrow(_sets, "node long, set array<long>"), "near-sets"
-    )
-    held = keep(pairs.join(sets, "node").select("hub", "node", F.col("set").alias("a")), "near-held")
+def _direct(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (hub, node) of stars with 100 * intersection >= percent * union on full sets."""
+    held = keep(stars.join(sets, "node").select("hub", "node", F.col("set").alias("a")), "near-held")
     both = held.join(sets.select(F.col("node").alias("hub"), F.col("set").alias("b")), "hub")
     shared = both.select("hub", "node", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("s"))
-    return keep(
-        shared.groupBy("hub", "node").agg(F.max(F.expr(f"100L * i >= {percent}L * (s - i)")).alias("ok")), "near-checked"
+    return keep(shared.where(f"100L * i >= {percent}L * (s - i)").select("hub", "node").distinct(), "near-direct")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of 0/1 matrices."""
+    sizes = np.array([len(x) for x in [*left, *right]])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, place, n = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    often = n[place] > 1  # what one set alone holds is in no intersection
+    owner, place = owner[often], place[often]
+    column = np.cumsum(n > 1) - 1
+    place = column[place]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    total = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, int((n > 1).sum()), _COLUMNS):
+        at = slice(*np.searchsorted(place, (start, start + _COLUMNS)))
+        held = np.zeros((len(sizes), _COLUMNS), np.float32)
+        held[owner[at], place[at] - start] = 1
+        total += held[: len(left)] @ held[len(left) :].T
+    return total.astype(np.int64)
+
+
+def _meet(percent: int):
+    def run(block: pa.Table) -> pa.Table:
+        """Links between components, each pair of components once, from the outside rows of a block to all its rows."""
+        block = block.combine_chunks()
+        outside = block["outside"].to_numpy()
+        component = block["component"].to_numpy()
+        sets = [x.values.to_numpy() for x in block["set"]]
+        left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
+        links: set[tuple[int, int]] = set()
+        if len(left) and len(right):
+            sizes = np.array([len(x) for x in sets])
+            both = shared_counts([sets[i] for i in left], [sets[i] for i in right])
+            near = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None] - both)
+            near &= component[left][:, None] != component[right][None]
+            links = {tuple(sorted(x)) for x in zip(*(component[side[at]].tolist() for side, at in zip((left, right), np.nonzero(near), strict=True)), strict=True)}
+        u, v = zip(*_forest(links), strict=True) if links else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _forest(links: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links enough to connect what all of them connect."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(y, y)
+        return x
+
+    kept = []
+    for u, v in sorted(links):
+        a, b = root(u), root(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            kept.append((u, v))
+    return kept
+
+
+def _outside(stars: DataFrame, sets: DataFrame, direct: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between components that a star's members form and its hub's links don't show.
+
+    Members outside their hub's component meet all members of the star, block by
+    block, on full sets.  Only sets of the same or the next size class meet: others
+    differ too much in size to be linked.  Blocks are bounded in rows and in shingles.
+    """
+    own = keep(components(direct.select(F.col("hub").alias("u"), F.col("node").alias("v"))), "near-own")
+    named = stars.join(own, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    of_hub = own.select(F.col("node").alias("hub"), F.col("component").alias("c"))
+    placed = keep(
+        named.join(of_hub, "hub", "left")
+        .withColumn("c", F.coalesce("c", "hub"))
+        .select("hub", "node", "component", "c", (F.col("component") != F.col("c")).alias("outside")),
+        "near-placed",
+    )
+    open_ = keep(placed.where("outside").groupBy("hub").agg(F.first("c").alias("c")), "near-open")
+    if open_.isEmpty():
+        return stars.sparkSession.createDataFrame([], "u long, v long")
+    inside = placed.drop("c").join(open_.select("hub"), "hub", "left_semi")
+    hubs = open_.select("hub", F.col("hub").alias("node"), F.col("c").alias("component"), F.lit(False).alias("outside"))
+    width = 1.001 * math.log(100 / percent)
+    rows = keep(
+        inside.unionByName(hubs)
+        .join(sets, "node")
+        .select("hub", "component", "outside", "set", F.xxhash64("node").alias("h"), F.floor(F.log(F.size("set")) / width).cast("int").alias("size_class")),
+        "near-open-rows",
+    )
+    per = F.greatest(F.lit(1.0), F.least(F.lit(float(_BLOCK_ROWS)), _BLOCK_SHINGLES / F.exp((F.col("size_class") + 1) * width)))
+    plan = (
+        rows.groupBy("hub", "size_class")
+        .agg(F.count_if("outside").alias("n_out"), F.count(F.lit(1)).alias("n"))
+        .select("hub", "size_class", F.ceil(F.col("n_out") / F.ceil(per / 4)).cast("int").alias("left"), F.ceil(F.col("n") / per).cast("int").alias("right"))
+        .groupBy("hub")  # a row for each size class, of which there are few
+        .agg(F.map_from_entries(F.collect_list(F.struct("size_class", F.struct("left", "right")))).alias("blocks"))
+    )
+    met = rows.join(keep(plan, "near-plan"), "hub")
+
+    def dealt(mine: str, theirs: str) -> str:
+        """The block pairs that a row takes part in, with its own block on one side."""
+        own_block = f"size_class as {mine}_class, int(pmod(h, blocks[size_class].{mine})) as {mine}"
+        pair = f"struct({own_block}, k as {theirs}_class, at as {theirs})"
+        each = f"transform(sequence(0, coalesce(blocks[k].{theirs}, 0)), at -> {pair})"  # one too many, so never backwards
+        classes = "array(size_class - 1, size_class, size_class + 1)"
+        return f"flatten(transform({classes}, k -> slice({each}, 1, coalesce(blocks[k].{theirs}, 0))))"
+
+    sides = [
+        met.where(which).select("hub", "component", F.lit(out).alias("outside"), "set", F.explode(F.expr(dealt(mine, theirs))).alias("b"))
+        for which, out, mine, theirs in (("outside", True, "left", "right"), ("true", False, "right", "left"))
+    ]
+    pairs = ["left_class", "left", "right_class", "right"]
+    blocks = sides[0].select("hub", *[f"b.{c}" for c in pairs], "component", "outside", "set").unionByName(
+        sides[1].select("hub", *[f"b.{c}" for c in pairs], "component", "outside", "set")
     )
+    return keep(blocks.groupBy("hub", *pairs).applyInArrow(_meet(percent), "u long, v long").distinct(), "near-between")
 
 
 def links(classes: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (u, v) between class representatives."""
-    spark = classes.sparkSession
-    each = classes.select("rep", F.explode("bands").alias("bucket"))
+    """Confirmed links (u, v) that connect all class representatives that share a bucket and are similar."""
+    each = classes.select("rep", F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = keep(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
     members = keep(each.join(shared, "bucket"), "near-members")
     weight = keep(members.groupBy("rep").agg(F.sum("size").alias("w")), "near-weights")
-    members = keep(members.join(weight, "rep").select("bucket", "rep", "w"), "near-members")
-    links = None
-    tested = None
-    while True:
-        hubs = keep(
-            members.groupBy("bucket")
-            .agg(F.max(F.struct("w", F.bitwise_not("rep").alias("r"))).alias("h"), F.count(F.lit(1)).alias("size"))
-            .where("size > 1")
-            .select("bucket", F.bitwise_not("h.r").alias("hub")),
-            "near-hubs",
-        )
-        stars = keep(members.join(hubs, "bucket").where("rep <> hub").select("bucket", "hub", F.col("rep").alias("node"), "w"), "near-stars")
-        pairs = stars.select("hub", "node").distinct()
-        if tested is not None:
-            known = tested.unionByName(tested.select(F.col("node").alias("hub"), F.col("hub").alias("node"), "ok"))
-            pairs = pairs.join(known, ["hub", "node"], "left_anti")
-        pairs = keep(pairs, "near-pairs")
-        if not pairs.isEmpty():
-            checked = _confirmed(pairs, keyed, percent)
-            tested = checked if tested is None else keep(tested.unionByName(checked), "near-tested")
-        if tested is None:
-            return spark.createDataFrame([], "u long, v long")
-        known = tested.unionByName(tested.select(F.col("node").alias("hub"), F.col("hub").alias("node"), "ok"))
-        failed = keep(
-            stars.join(known.where("ok"), ["hub", "node"], "left_anti").select("bucket", F.col("node").alias("rep"), "w"), "near-failed"
-        )
-        links = tested.where("ok").select(F.col("hub").alias("u"), F.col("node").alias("v"))
-        if failed.isEmpty():
-            return links
-        members = failed
+    hubs = keep(
+        members.join(weight, "rep")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("w", F.bitwise_not("rep").alias("r"))).alias("h"))
+        .select("bucket", F.bitwise_not("h.r").alias("hub")),
+        "near-hubs",
+    )
+    stars = keep(members.join(hubs, "bucket").where("rep <> hub").select("hub", F.col("rep").alias("node")).distinct(), "near-stars")
+    nodes = keep(stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct(), "near-nodes")
+    sets = keep(
+        keyed.join(nodes, keyed["_d"] == nodes["node"], "left_semi").mapInArrow(_sets, "node long, set array<long>"), "near-sets"
+    )
+    direct = _direct(stars, sets, percent)
+    return direct.select(F.col("hub").alias("u"), F.col("node").alias("v")).unionByName(_outside(stars, sets, direct, percent))
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85) -> DataFrame:

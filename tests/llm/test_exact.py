@@ -234,3 +234,29 @@ def test_top_k_skips_blocks():
     blocks = [{"ids": np.arange(b, b + 16, dtype="<i8").tobytes(), "vectors": vectors[b : b + 16].tobytes(), "n": 16, "dim": 8} for b in range(0, 640, 16)]
     found, scored = topk.search_blocks(np.array([1000, 1001]), vectors[[5, 300]], blocks, 5)
     assert len(found) == 10 and scored < 2 * len(blocks) / 2
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_dedup_of_mutated_group(spark, percent):
+    """One large group whose members are near some others and far from most: no link may be lost."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"b{rng.randint(0, 5000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 260):
+        words = rows[rng.randrange(len(rows))][1].split()
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(len(words))] = f"c{rng.randint(0, 99999)}"
+        rows.append((i, " ".join(words[: rng.choice([150, 150, 150, 120])])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(minhash.near_groups(frame, percent=percent), "doc_id", "n_shingles", "component_id", "kept") == brute_groups(rows, percent)
+
+
+def test_shared_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(-3000, 3000, rng.integers(1, 4000))) for _ in range(20)]
+    got = minhash.shared_counts(sets[:7], sets[7:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[7:]] for a in sets[:7]]

@@ -248,6 +248,7 @@ def _outside(stars: DataFrame, sets: DataFrame, direct: DataFrame, percent: int)
     blocks = sides[0].select("hub", *[f"b.{c}" for c in pairs], "component", "outside", "set").unionByName(
         sides[1].select("hub", *[f"b.{c}" for c in pairs], "component", "outside", "set")
     )
+    blocks = blocks.repartition("hub", *pairs)  # else a hub's blocks all stay where the join has put its rows
     return keep(blocks.groupBy("hub", *pairs).applyInArrow(_meet(percent), "u long, v long").distinct(), "near-between")
 
 

@@ -44,8 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and digests of the ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(coded, path, public_tokenizers.PATTERN).select(
+    return bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select(
         "doc_id",
         "n_tokens",
         "token_ids",

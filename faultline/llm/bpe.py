@@ -156,8 +156,19 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids")
     return _mapped(encoded, ids, {"decoded": T.BinaryType()}, make)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs plus n_tokens, token_ids and decoded: encode() and decode() in one worker, with one set of ranks."""
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        both = codec(path, pattern)
+        ids = [both.encode(t or "") for t in texts.to_pylist()]
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(both.decode, ids), pa.binary())]
+
+    return _mapped(docs, text, {"n_tokens": T.LongType(), "token_ids": T.BinaryType(), "decoded": T.BinaryType()}, make)
+
+
 def token_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    coded = round_trip(docs.select("doc_id", "text"), path, pattern)
     return coded.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "n_tokens",

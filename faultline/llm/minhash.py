@@ -51,7 +51,7 @@ class WordHashes(dict):
     """Hashes of words, in a cache of bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value

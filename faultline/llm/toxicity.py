@@ -193,7 +193,7 @@ def document_vectors(docs: DataFrame, terms: list[str], **columns: str) -> DataF
                     hit = known.get(word)
                     if hit is None:
                         hit = tuple(t for t in word_terms(word) if t in wanted)
-                        if len(known) < 500_000:
+                        if len(known) < 100_000:
                             known[word] = hit
                     for t in hit:
                         found[t] = found.get(t, 0) + n

@@ -163,10 +163,12 @@ def test_bpe_on_test_data(spark):
     with open(queries.RANKS, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    coded = bpe.encode(frame.select("doc_id", "text"), queries.RANKS, public_tokenizers.PATTERN)
+    coded = bpe.encode(frame.select("doc_id", "text", F.upper("text").alias("n_tokens")), queries.RANKS, public_tokenizers.PATTERN)
     for r in coded.where("doc_id % 5 = 0").collect():
         ids = library.encode_ordinary(r.text)
         assert bytes(r.token_ids) == b"".join(i.to_bytes(4, "little") for i in ids)
+    back = bpe.decode(coded.join(frame.select("doc_id", "text"), "doc_id") if "text" not in coded.columns else coded, queries.RANKS, public_tokenizers.PATTERN)
+    assert back.where("decode(decoded, 'UTF-8') <> text or decoded is null").isEmpty()
 
 
 def brute_spans(text):

@@ -35,7 +35,8 @@ def changed_keys(before: Column, after: Column) -> Column:
     keys = F.array_union(F.coalesce(F.map_keys(m), empty), F.coalesce(F.map_keys(n), empty))
     held = lambda x, k: F.coalesce(F.map_contains_key(x, k), F.lit(False))
     differs = lambda k: (held(m, k) != held(n, k)) | ~F.element_at(m, k).eqNullSafe(F.element_at(n, k))
-    return F.nullif(F.array_join(F.array_sort(F.filter(keys, differs)), ","), F.lit(""))
+    changed = F.filter(keys, differs)
+    return F.when(F.size(changed) > 0, F.array_join(F.array_sort(changed), ","))
 
 
 def payload_changed(before: Column, after: Column) -> Column:

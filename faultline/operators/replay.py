@@ -171,15 +171,15 @@ def event_payloads(events: DataFrame, mode: str) -> DataFrame:
     null = F.lit(None).cast("string")
     some = lambda c: null if mode == "none" else c
     before, after = F.col("previous_payload"), F.col("payload")
-    return events.select(
-        *[c for c in events.columns if c not in ("previous_payload", "payload")],
-        (before if mode == "full" else null).alias("previous_payload"),
-        (after if mode == "full" else null).alias("payload"),
+    # made before the payloads are cut: a name that the same projection gives anew may shadow the column
+    made = events.select(
+        "*",
         F.lit(mode).alias("payload_mode"),
         some(F.when(F.col("event_type") == "VALUES_CHANGED", changed_keys(before, after))).alias("changed_columns"),
         some(payload_digest(before)).alias("previous_digest"),
         some(payload_digest(after)).alias("digest"),
     )
+    return made if mode == "full" else made.withColumn("previous_payload", null).withColumn("payload", null)
 
 
 def removed_checks(history: DataFrame, tracked: DataFrame, now: Column, run_id: str) -> tuple[DataFrame, DataFrame]:

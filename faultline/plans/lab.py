@@ -164,7 +164,7 @@ class Lab:
 
     @cached_property
     def events(self) -> DataFrame:
-        return self.first_events.unionByName(self.second_events)
+        return kept(self.first_events.unionByName(self.second_events), "events")
 
     @cached_property
     def missed(self) -> DataFrame:

@@ -18,9 +18,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+_labs: dict[tuple[str, str], Lab] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Lab:
+    """The ledger of one input, whose stored tables the queries of an application share."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _labs:
+        _labs[key] = Lab(spark, sf_dir)
+    return _labs[key]
+
+
 def query(sql: str):
     def register(f: Callable[[Lab], DataFrame]) -> Callable[[Lab], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Lab(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(_stored(spark, sf_dir))
         ORACLE_SQL[f.__name__] = sql
         return f
 
@@ -102,7 +113,7 @@ def replay_episodes(lab: Lab) -> DataFrame:
 
 @query(L.ledger(f"select {_WHOLE} from r2_occ"))
 def replay_occurrences(lab: Lab) -> DataFrame:
-    return whole(lab.second_changes)
+    return whole(replay.occurrences(lab.second_states, lab.reviewed))
 
 
 @query(L.ledger("select s.check_id, count(*) as states, count(*) filter (failing) as failing_states, count(distinct s.identity) as identities from r2_st s join execs e on e.check_id = s.check_id and e.invocation_id = s.invocation_id where e.status = 'limit_reached' group by all"))
@@ -174,7 +185,7 @@ def insert_new_rows(lab: Lab) -> DataFrame:
 
 @query(L.ledger(f"select {_WHOLE} from occ"))
 def apply_upsert(lab: Lab) -> DataFrame:
-    return whole(lab.occurrences)
+    return whole(apply.merged(lab.reviewed, lab.second_changes.drop("episode")))
 
 
 _PATCHED = "record_status = 'Active' and identity[3] <= 'b'"
@@ -209,11 +220,13 @@ def annotation_apply(lab: Lab) -> DataFrame:
 
 
 @query(L.ledger(f"""
-select occurrence_id, 'workflow_status' as field_name, 'NEW' as base_value, workflow_status as current_value, 0 as base_version, version as current_version
-from occ where {_PATCHED} and (workflow_status <> 'NEW' or version <> 0)"""))
+select occurrence_id, 'workflow_status' as field_name, case when identity[4] <= '7' then 'NEW' else 'TRIAGED' end as base_value, workflow_status as current_value,
+    0 as base_version, version as current_version
+from occ where {_PATCHED} and (workflow_status <> case when identity[4] <= '7' then 'NEW' else 'TRIAGED' end or version <> 0)"""))
 def annotation_drift(lab: Lab) -> DataFrame:
-    pending = patches(lab).where("field_name = 'workflow_status'").select("occurrence_id", "field_name", F.lit("NEW").alias("base_value"), F.lit(0).alias("base_version"))
-    return review.drift(pending, lab.occurrences)
+    believed = F.when(F.substring("identity", 4, 1) <= "7", "NEW").otherwise("TRIAGED").alias("base_value")
+    edits = patches(lab).where("field_name = 'workflow_status'").join(lab.occurrences.select("occurrence_id", "identity"), "occurrence_id")
+    return review.drift(edits.select("occurrence_id", "field_name", believed, F.lit(0).alias("base_version")), lab.occurrences)
 
 
 @query(L.ledger(f"select event_id, check_id, invocation_id, {tss('event_at')}, 'skipped_late' as outcome from skips"))

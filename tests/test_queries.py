@@ -5,7 +5,7 @@ import pytest
 from faultline import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 def rows(columns, values):

@@ -142,6 +142,14 @@ def test_replay_semantics(spark):
         assert run_all(spark, executions, observations, splits)[:2] == (occurrences, events)
 
 
+@pytest.mark.parametrize("mode", ["full", "changed_columns", "none"])
+def test_payload_modes(spark, mode):
+    events = spark.createDataFrame([("e", "VALUES_CHANGED", '{"a":"1"}', '{"a":"2"}')], "event_id string, event_type string, previous_payload string, payload string")
+    r = replay.event_payloads(events, mode).first()
+    assert (r.payload is not None) == (mode == "full") and (r.digest is not None) == (mode != "none")
+    assert r.changed_columns == (None if mode == "none" else "a")
+
+
 def test_apply_keeps_what_reviewers_own(spark):
     runs = [(1, "success", "s1"), (2, "success", "s1")]
     executions, observations = evidence(spark, runs, {1: {"a": 1, "b": 1}, 2: {"b": 2}})

@@ -5,118 +5,114 @@ labelled good documents, the background model from all documents.  A document's
 score is its cross-entropy per token under the target model less that under the
 background model, in bits; lower means closer to the target.
 
-Counts cover the whole corpus.  The vocabulary is its ``max_words`` most frequent
-words at most, others are one unknown word.  The ``max_pairs`` most frequent bigrams keep
-their own counts; the rest are backed off to their second word, with the weight
-that their first word leaves (interpolation with discount):
+Counts cover the whole corpus, and every word and every bigram keeps its own.
+The models interpolate with a discount:
 
     p(b | a) = (max(c(ab) - D, 0) + D * t(a) * p(b)) / c(a),   p(b) = (c(b) + 1) / (N + V)
 
-where t(a) is the number of kept bigrams with a whose count is positive, plus
-what the pruned ones hold.  Both bounds fix the size of what is broadcast.
+where t(a) is the number of different bigrams that begin with a.  The counts are
+tables, and each bigram's gain (log2 of p under the background model less that
+under the target's) is computed there once.  The gains of the most frequent
+``max_broadcast`` bigrams are broadcast and looked up where texts are read; all
+other bigrams of a document are joined with the table of gains.  The bound
+decides which way a gain travels and has no part in any score.
+
+Words and bigrams go by 64-bit hashes; two bigrams that shared one would share
+their counts (expected once in about 70 corpora of 700 million different bigrams).
 
 Cases: null and empty texts have no tokens and score 0 over 0 tokens.  Labels
 that are null, of unknown ids or on held-out rows teach nothing; without any
-target document every score is 0.  Words or pairs of about equal counts are kept
-or pruned together.  Repeated rows count as often as they occur.
+target document every score is 0.  Repeated rows count as often as they occur.
 An empty table gives an empty table.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm._common import keep
 from faultline.llm.toxicity import held_out
 
 _WORDS = re.compile(r"\w+|[^\w\s]").findall
-_FLUSH = 300_000
 _DISCOUNT = 0.75
-#: Ids 0 and 1 are the unknown word and the end of a document.
-UNKNOWN, END = 0, 1
+_CACHED = 200_000
+#: The id of the end of a document.
+END = 1
 
 
 def words_of(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, m): how often each word occurs in all documents and in the target's."""
+class WordIds(dict):
+    """64-bit ids of words; a bounded number of them is remembered."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+    def __missing__(self, word: str) -> int:
+        made = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        if len(self) < _CACHED:
+            self[word] = made
+        return made
 
-        def out() -> pa.RecordBatch:
-            words = list(found[0])
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array([found[0][w] for w in words], pa.int64()), pa.array([found[1][w] for w in words], pa.int64())],
-                names=["word", "n", "m"],
-            )
-            for c in found:
-                c.clear()
-            return batch
 
-        for batch in batches:
-            target, texts = batch.columns
-            for good, text in zip(target.to_pylist(), texts.to_pylist(), strict=True):
-                words = words_of(text or "")
-                found[0].update(words)
-                if good:
-                    found[1].update(words)
-            if len(found[0]) >= _FLUSH:
-                yield out()
-        if found[0]:
-            yield out()
+def id_stream(text: str, ids: WordIds) -> list[int]:
+    words = words_of(text)
+    return [END, *map(ids.__getitem__, words), END] if words else []
 
-    return docs.mapInArrow(count, "word string, n long, m long")
 
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of ids (the finalizer of MurmurHash3 over both)."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.astype(np.uint64) + np.uint64(0x7F4A7C159E3779B9))
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(by)
+    return (x ^ (x >> np.uint64(33))).astype(np.int64)
 
-def id_stream(text: str, index: dict[str, int]) -> np.ndarray:
-    words = words_of(text)
-    get = index.get
-    return np.array([END, *[get(w, UNKNOWN) for w in words], END], np.int64) if words else np.zeros(0, np.int64)
 
+def batch_pairs(texts: list[str | None], ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second ids of all bigrams of a batch, and the place of each one's text."""
+    streams = [id_stream(t or "", ids) for t in texts]
+    sizes = np.array([len(s) for s in streams], np.int64)
+    flat = np.array([i for s in streams for i in s], np.int64)
+    row = np.repeat(np.arange(len(streams)), sizes)
+    inside = np.flatnonzero(row[:-1] == row[1:])
+    return flat[inside], flat[inside + 1], row[inside]
 
-def pair_counts(docs: DataFrame, index: dict[str, int]) -> DataFrame:
-    """(pair, n, m): bigrams as a * V + b, counted in all documents and in the target's."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    size = len(index) + 2
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(pair, a, b, n, m): bigrams counted in all documents and in the target's, one batch at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
         for batch in batches:
             target, texts = batch.columns
-            pairs, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for good, text in zip(target.to_pylist(), texts.to_pylist(), strict=True):
-                ids = id_stream(text or "", shared.value)
-                pairs.append(ids[:-1] * size + ids[1:])
-                marks.append(np.full(len(pairs[-1]), int(bool(good))))
-            every, place = np.unique(np.concatenate(pairs), return_inverse=True)
-            mark = np.concatenate(marks)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(every),
-                    pa.array(np.bincount(place, minlength=len(every)).astype(np.int64)),
-                    pa.array(np.bincount(place, weights=mark, minlength=len(every)).astype(np.int64)),
-                ],
-                names=["pair", "n", "m"],
-            )
+            a, b, row = batch_pairs(texts.to_pylist(), ids)
+            if not len(row):
+                continue
+            good = np.array([bool(g) for g in target.to_pylist()], np.int64)[row]
+            keys = pair_keys(a, b)
+            order = np.argsort(keys)
+            ordered = keys[order]
+            starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            one = order[starts]
+            n = np.diff(np.r_[starts, len(order)])
+            m = np.add.reduceat(good[order], starts)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[one], a[one], b[one], n, m)], names=["pair", "a", "b", "n", "m"])
 
-    return docs.mapInArrow(count, "pair long, n long, m long")
+    return docs.mapInArrow(count, "pair long, a long, b long, n long, m long")
 
 
-def most_frequent(counted: DataFrame, most: int) -> DataFrame:
-    """The rows of the largest counts n that are at most ``most`` in all.
+def most_frequent(counted: DataFrame, most: int) -> Column:
+    """The condition that holds for the rows of the largest counts n, ``most`` of them at most.
 
     A histogram of sixteen bins per doubling gives the least bin that fits, so rows
-    of about equal counts stay or go together and no task sees more than its share.
+    of about equal counts go together and no task sees more than its share.
     """
     level = F.floor(F.log2(F.col("n")) * 16)
     left = most
@@ -126,103 +122,108 @@ def most_frequent(counted: DataFrame, most: int) -> DataFrame:
         if left < 0:
             break
         least = bin_
-    return counted.where(level >= least)
-
-
-@dataclass
-class Model:
-    """One side: logs of p(b), of each kept pair, and the back-off weight of each first word."""
-
-    unigram: np.ndarray
-    pairs: np.ndarray
-    backoff: np.ndarray
-
-    @classmethod
-    def fit(cls, size: int, words: np.ndarray, firsts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Model:
-        """words: c(b); firsts: c(a) over all bigrams; counts: of the kept bigrams ``keys``."""
-        unigram = (words + 1) / (words.sum() + size)
-        a, b = keys // size, keys % size
-        held = np.maximum(counts - _DISCOUNT, 0)
-        left = firsts - np.bincount(a, weights=held, minlength=size)
-        total = np.maximum(firsts, 1e-9)
-        weight = np.where(firsts > 0, left / total, 1.0)
-        pairs = held / total[a] + weight[a] * unigram[b]
-        return cls(np.log2(unigram), np.log2(pairs), np.log2(np.maximum(weight, 1e-12)))
-
-
-@dataclass
-class Scorer:
-    index: dict[str, int]
-    keys: np.ndarray
-    target: Model
-    background: Model
-
-    def score(self, text: str) -> tuple[int, float]:
-        """Tokens, and bits per token lost to the target model beyond the background's."""
-        ids = id_stream(text, self.index)
-        if not len(ids):
-            return 0, 0.0
-        a, b = ids[:-1], ids[1:]
-        pair = a * (len(self.index) + 2) + b
-        at = np.minimum(np.searchsorted(self.keys, pair), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == pair if len(self.keys) else np.zeros(len(pair), bool)
-        gain = self.bits(self.background, at, known, a, b) - self.bits(self.target, at, known, a, b)
-        return len(ids) - 2, float(gain.mean())
-
-    @staticmethod
-    def bits(model: Model, at: np.ndarray, known: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        back = model.backoff[a] + model.unigram[b]
-        return np.where(known, model.pairs[at], back) if len(model.pairs) else back
+    return level >= least
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, most: int) -> DataFrame:
+    """rows joined with table by key: its frequent rows are broadcast, the others joined by a shuffle."""
+    frequent = most_frequent(table, most)
+    common = F.broadcast(table.where(frequent).drop("n"))
+    rare = table.where(~frequent).drop("n")
+    return rows.join(common, key).unionByName(rows.join(common.select(key), key, "left_anti").join(rare, key))
+
+
+def log_p(c: str, first: str, followers: str, second: str, total: int, size: int) -> Column:
+    one = (F.col(second) + 1) / F.lit(float(total + size))
+    held = F.greatest(F.col(c) - _DISCOUNT, F.lit(0.0))
+    return F.log2(F.when(F.col(first) > 0, (held + _DISCOUNT * F.col(followers) * one) / F.col(first)).otherwise(one))
+
+
+def gains(pairs: DataFrame, max_words: int) -> tuple[DataFrame, bool]:
+    """(pair, n, gain) of every bigram, and whether the target has any."""
+    firsts = keep(
+        pairs.groupBy("a").agg(
+            F.sum("n").alias("n"), F.sum("n").alias("first_n"), F.sum("m").alias("first_m"),
+            F.count_if(F.col("n") > 0).alias("followers_n"), F.count_if(F.col("m") > 0).alias("followers_m"),
+        ),
+        "lm-firsts",
+    )
+    seconds = keep(pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum("n").alias("second_n"), F.sum("m").alias("second_m")), "lm-seconds")
+    words, n, m = seconds.agg(F.count("*"), F.sum("second_n"), F.sum("second_m")).first()
+    size = words + 1  # the words, the end and a place for the unseen
+    full = look_up(look_up(pairs, firsts, "a", max_words), seconds, "b", max_words)
+    gain = log_p("n", "first_n", "followers_n", "second_n", n or 0, size) - log_p("m", "first_m", "followers_m", "second_m", m or 0, size)
+    return keep(full.select("pair", "n", gain.alias("gain")), "lm-gains"), bool(m)
+
+
+def document_gains(named: DataFrame, keys: np.ndarray, values: np.ndarray) -> DataFrame:
+    """For each row of docs its head with the sum of the gains at hand, and a row for each other bigram."""
+    shared = named.sparkSession.sparkContext.broadcast((keys, values))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, (keys, values) = WordIds(), shared.value
+        for batch in batches:
+            rows, doc_ids, held, texts = batch.columns
+            a, b, row = batch_pairs(texts.to_pylist(), ids)
+            pair = pair_keys(a, b)
+            at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+            known = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
+            total = np.bincount(row[known], weights=values[at[known]], minlength=len(rows))
+            tokens = np.maximum(np.bincount(row, minlength=len(rows)) - 1, 0)
+            left, other = row[~known], pair[~known]
+            order = np.lexsort((other, left))
+            left, other = left[order], other[order]
+            starts = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (other[1:] != other[:-1])]) if len(left) else np.zeros(0, np.int64)
+            times, blank = np.diff(np.r_[starts, len(left)]), len(starts)
+            number = np.asarray(rows.to_numpy())
+            heads, none = len(rows), lambda kind: pa.nulls(blank, kind)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[number, number[left[starts]]]),
+                    pa.concat_arrays([doc_ids.cast(pa.int64()), none(pa.int64())]),
+                    pa.concat_arrays([held.cast(pa.bool_()), none(pa.bool_())]),
+                    pa.concat_arrays([pa.array(tokens.astype(np.int64)), none(pa.int64())]),
+                    pa.concat_arrays([pa.array(total.astype(np.float64)), none(pa.float64())]),
+                    pa.concat_arrays([pa.nulls(heads, pa.int64()), pa.array(other[starts])]),
+                    pa.concat_arrays([pa.nulls(heads, pa.int64()), pa.array(times.astype(np.int64))]),
+                ],
+                names=["row", "doc_id", "held_out", "n_tokens", "gained", "pair", "times"],
+            )
+
+    return named.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("h"), "text").mapInArrow(
+        look, "row long, doc_id long, held_out boolean, n_tokens long, gained double, pair long, times long"
+    )
 
 
 def score(
     docs: DataFrame,
     labels: DataFrame,
-    max_words: int = 30_000,
-    max_pairs: int = 500_000,
+    max_broadcast: int = 500_000,
     target: str = "quality = 1",
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, score), one row per document."""
-    spark = docs.sparkSession
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     good = keep(labels.where(f"doc_id is not null and {target}").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_good")).distinct(), "lm-target")
     marked = named.join(good, named["doc_id"] == good["_good"], "left").select(F.col("_good").isNotNull().alias("good"), "text")
-    marked = keep(marked, "lm-marked")
-    words = keep(word_counts(marked).groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-words")
-    top = most_frequent(words, max_words).select("word").orderBy("word").collect()
-    index = {r["word"]: i + 2 for i, r in enumerate(top)}
-    size = len(index) + 2
-    pairs = keep(pair_counts(marked, index).groupBy("pair").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-pairs")
-    second = pairs.groupBy((F.col("pair") % size).alias("w")).agg(F.sum("n"), F.sum("m")).collect()
-    first = pairs.groupBy(F.floor(F.col("pair") / size).alias("w")).agg(F.sum("n"), F.sum("m")).collect()
-    kept = most_frequent(pairs, max_pairs).toArrow()
-    order = np.argsort(kept["pair"].to_numpy())
-    keys = kept["pair"].to_numpy()[order]
-
-    def model(which: int) -> Model:
-        counts = [np.zeros(size), np.zeros(size)]
-        for into, rows in zip(counts, (second, first), strict=True):
-            for row in rows:
-                into[row[0]] = row[1 + which]
-        return Model.fit(size, *counts, keys, kept["nm"[which]].to_numpy()[order].astype(float))
-
-    shared = spark.sparkContext.broadcast(Scorer(index, keys, model(1), model(0)))
-    empty = not sum(r[2] for r in second)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value
-        for batch in batches:
-            ids, held, texts = batch.columns
-            judged = [scorer.score(t or "") for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [ids, held, pa.array([n for n, _ in judged], pa.int64()), pa.array([0.0 if empty else s for _, s in judged], pa.float64())],
-                names=["doc_id", "held_out", "n_tokens", "score"],
-            )
-
-    return named.select("doc_id", held_out(F.col("doc_id")).alias("h"), "text").mapInArrow(
-        judge, "doc_id long, held_out boolean, n_tokens long, score double"
+    counted = pair_counts(marked).groupBy("pair").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    table, taught = gains(keep(counted, "lm-pairs"), max_broadcast // 5)
+    frequent = most_frequent(table, max_broadcast)
+    near = table.where(frequent).select("pair", "gain").toArrow()
+    order = np.argsort(near["pair"].to_numpy())
+    parts = keep(document_gains(named, near["pair"].to_numpy()[order], near["gain"].to_numpy()[order]), "lm-documents")
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"))]
+    far = parts.where("pair is not null").select("row", "pair", "times").join(table.where(~frequent).select("pair", "gain"), "pair")
+    every = (
+        parts.where("pair is null")
+        .select("row", "doc_id", "held_out", "n_tokens", "gained")
+        .unionByName(far.select("row", *nothing, (F.col("gain") * F.col("times")).alias("gained")))
     )
-
-
+    mean = F.sum("gained") / (F.max("n_tokens") + 1)
+    return every.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("held_out").alias("held_out"),
+        F.max("n_tokens").alias("n_tokens"),
+        (mean if taught else F.lit(0.0)).alias("score"),
+    ).drop("row")

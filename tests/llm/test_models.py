@@ -115,6 +115,32 @@ def test_lm_scores_against_brute_force(docs, spark, texts):
         assert got[d, max(len(s) - 2, 0)] == pytest.approx(want, abs=1e-6)
 
 
+def test_lm_scores_do_not_depend_on_what_is_broadcast(docs, spark):
+    labels = spark.createDataFrame([(d, 1, 0) for d in (5, 9, 10, 14, 100, 101, 104)], "doc_id long, quality int, toxic int")
+    rows = lambda most: sorted((str(r.doc_id), r.held_out, r.n_tokens, round(r.score, 9)) for r in lmscore.score(docs, labels, max_broadcast=most).collect())
+    whole = rows(500_000)
+    assert any(s for *_, s in whole)
+    assert rows(0) == whole and rows(50) == whole
+
+
+def test_lm_scores_beyond_any_fixed_number_of_words(spark):
+    """40,000 words, each in one pair of texts: the last text's words still count as words of their own."""
+    texts = [(i, " ".join(f"w{j}" for j in range(i // 2 * 400, i // 2 * 400 + 400))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    taught = [i for i in range(200) if __import__("zlib").crc32(str(i).encode()) % 3 != 1][-1]
+    labels = spark.createDataFrame([(taught, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in lmscore.score(docs, labels).collect()}
+    n, size = 401 * 200, 40_000 + 2
+    # words of the taught text: one follower each, seen twice in all documents and once in the target's
+    background = (2 - 0.75 + 0.75 * 3 / (n + size)) / 2
+    target = 0.25 + 0.75 * 2 / (401 + size)
+    ends = lambda c, first, t, second, total: (max(c - 0.75, 0) + 0.75 * t * (second + 1) / (total + size)) / first
+    want = 399 * (math.log2(background) - math.log2(target))
+    want += math.log2(ends(2, 200, 100, 2, n)) - math.log2(ends(1, 1, 1, 1, 401))
+    want += math.log2(ends(2, 2, 1, 200, n)) - math.log2(ends(1, 1, 1, 1, 401))
+    assert got[taught] == pytest.approx(want / 401, abs=1e-9)
+
+
 def test_lm_scores_of_nothing(docs, no_docs, spark, texts):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in lmscore.score(docs, labels).collect()] == [0.0] * len(texts)

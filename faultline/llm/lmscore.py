@@ -30,19 +30,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm._common import keep
+from faultline.llm._common import WordIds, keep
 from faultline.llm.toxicity import held_out
 
 _WORDS = re.compile(r"\w+|[^\w\s]").findall
 _DISCOUNT = 0.75
-_CACHED = 200_000
 #: The id of the end of a document.
 END = 1
 
@@ -51,16 +49,6 @@ def words_of(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
-class WordIds(dict):
-    """64-bit ids of words; a bounded number of them is remembered."""
-
-    def __missing__(self, word: str) -> int:
-        made = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        if len(self) < _CACHED:
-            self[word] = made
-        return made
-
-
 def id_stream(text: str, ids: WordIds) -> list[int]:
     words = words_of(text)
     return [END, *map(ids.__getitem__, words), END] if words else []

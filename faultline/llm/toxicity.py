@@ -1,21 +1,21 @@
 """Toxicity by nearest labelled examples.
 
-A text's terms are its lower-cased words cut to 4 and to 6 letters; a term that
-occurs twice, or four times, adds a term of that level.  The model is fitted on a bounded sample of labelled rows (``max_per_label`` of each label):
-
-* vocabulary: the terms whose document rates under the two labels differ by a
-  factor of ``min_ratio`` or more and reach ``min_rate`` under one of them, the
-  ``max_terms`` with the largest difference;
-* IDF: from the document frequencies of these terms over all documents;
-* index: TF-IDF vectors of unit length of the examples, kept term-major as
-  postings, with the maximum weight of each term in each block of examples.
-
-A text is scored against its ``k`` nearest examples by exact cosine.  Blocks are
-visited by falling upper bound, the sum of query weight times block maximum, and
-the search ends when the bound falls below the k-th cosine.  Examples vote with
-their cosine times the number of labelled rows they stand for, against a prior:
-the rate of label 1 among examples without any term, which is also the score of
-a text without any term.  The k-th place is shared by the examples that tie.
+A text's terms are all its lower-cased words.  The model is fitted on a bounded
+sample of labelled rows (``max_per_label`` of each label):
+
+* every word of a sampled row is a term of the index;
+* weight: (1 + ln n) x IDF x label weight.  IDF is from the document frequencies of
+  these terms over all documents, a word that no example holds has that of a new
+  one.  The label weight is 1 + G^0.75 / 2, where G is the likelihood ratio statistic
+  of the term and the labels in the sample; it is 1 for a word no example holds;
+* index: vectors of unit length over the whole texts, as dense rows for the words
+  of many examples and as postings for all others.
+
+A text, normed over all its words, is scored against its ``k`` nearest examples by
+exact cosine with all of them.  Examples vote with their cosine times the number of
+labelled rows they stand for, against a prior: the rate of label 1, which is also
+the score of a text that shares no word with any example.  The k-th place is shared
+by the examples that tie.  Words go by 64-bit hashes.
 
 Cases: null and empty texts have no terms and get the prior.  Labels that are
 null, of null or unknown ids, or on held-out rows teach nothing.  Without any
@@ -36,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm._common import id_key, keep, tune
+from faultline.llm._common import WordIds, id_key, keep, tune
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _BLOCK = 64
-_PRIOR_WEIGHT = 1.0
-_LEVELS = ((1, ""), (2, "+"), (4, "++"))
+_PRIOR_WEIGHT = 0.1
+#: Words in one of so many examples or more are dense rows of the index, up to the first number of them.
+_DENSE, _COMMON = 512, 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,26 +50,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def word_terms(word: str) -> tuple[str, ...]:
-    return (word[:4], word[:6]) if len(word) > 4 else (word,)
-
-
-def with_levels(term: str, n: int) -> list[str]:
-    """The term, and a term of its own for two and for four occurrences or more."""
-    return [term + mark for least, mark in _LEVELS if n >= least]
-
-
-def terms_of(text: str) -> dict[str, int]:
-    found: Counter[str] = Counter()
-    for word, n in Counter(_WORDS(text.lower())).items():
-        for term in word_terms(word):
-            found[term] += n
-    return {level: n for term, n in found.items() for level in with_levels(term, n)}
+def batch_terms(texts: list[str | None], ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the text, id and count of every word of every text."""
+    found = [Counter(_WORDS((t or "").lower())) for t in texts]
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    terms = np.array([ids[w] for f in found for w in f], np.int64)
+    return row, terms, np.array([n for f in found for n in f.values()], np.int64)
 
 
 @dataclass
 class Model:
-    """Postings are rows of ``weights``: one per term, one column per example."""
+    """A search of one dense index by bounds of blocks, which ``Index`` is held against."""
 
     terms: dict[str, int]
     idf: np.ndarray
@@ -105,37 +97,73 @@ class Model:
         order = np.lexsort((all_ids[near], -all_cosines[near]))
         return all_ids[near][order], all_cosines[near][order], scored
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[dict]]:
-        if not terms:
-            return self.prior, []
-        at = np.array(terms)
-        query = (1 + np.log(np.array(counts, float))) * self.idf[at]
-        norm = np.sqrt((query**2).sum())
-        if not norm:
+
+@dataclass
+class Index:
+    """All words of all examples; ``dense`` rows of the common ones, postings of the others."""
+
+    terms: np.ndarray
+    weight: np.ndarray
+    unseen: float
+    row: np.ndarray
+    dense: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    example: np.ndarray
+    posted: np.ndarray
+    label: np.ndarray
+    vote: np.ndarray
+    ids: np.ndarray
+    prior: float
+    k: int
+
+    def cosines(self, rows: int, row: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Cosines of each text of a batch with every example."""
+        examples = len(self.ids)
+        at, known = places(self.terms, terms)
+        query = (1 + np.log(counts)) * np.where(known, self.weight[at] if len(self.terms) else 0.0, self.unseen)
+        norm = np.sqrt(np.bincount(row, weights=query**2, minlength=rows))
+        query /= norm[row]
+        row, at, query = row[known], at[known], query[known]
+        common = self.row[at] >= 0
+        wide = np.zeros((rows, len(self.dense)))
+        wide[row[common], self.row[at[common]]] = query[common]
+        found = wide @ self.dense
+        row, at, query = row[~common], at[~common], query[~common]
+        n = self.length[at]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)
+        place = np.repeat(row, n) * examples + self.example[inside]
+        found += np.bincount(place, weights=np.repeat(query, n) * self.posted[inside], minlength=rows * examples).reshape(rows, examples)
+        return np.round(found, 9)
+
+    def judge(self, cosines: np.ndarray) -> tuple[float, list[dict]]:
+        """The score of a text from its cosines, and its three nearest examples."""
+        kth = np.partition(cosines, -self.k)[-self.k] if len(cosines) > self.k else 0.0
+        near = np.flatnonzero((cosines >= kth) & (cosines > 0))
+        if not len(near):
             return self.prior, []
-        examples, cosines, _ = self.nearest(at, query / norm)
-        votes = cosines * self.vote[examples]
-        total = votes.sum()
-        weight = _PRIOR_WEIGHT * (self.vote.min() if len(self.vote) else 1.0)
-        score = (float((votes * self.label[examples]).sum()) + weight * self.prior) / (total + weight)
-        seen = [
-            {"doc_id": int(self.ids[e]), "cosine": float(c), "toxic": int(self.label[e])}
-            for e, c in zip(examples[:3], cosines[:3], strict=True)
-        ]
+        near = near[np.lexsort((near, -cosines[near]))]
+        votes = cosines[near] * self.vote[near]
+        weight = _PRIOR_WEIGHT * self.vote.min()
+        score = (float((votes * self.label[near]).sum()) + weight * self.prior) / (votes.sum() + weight)
+        seen = [{"doc_id": int(self.ids[e]), "cosine": float(cosines[e]), "toxic": int(self.label[e])} for e in near[:3]]
         return min(max(score, 0.0), 1.0), seen
 
 
+def places(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value lies in an ordered array, and whether it is there."""
+    at = np.minimum(np.searchsorted(ordered, wanted), max(len(ordered) - 1, 0))
+    return at, ordered[at] == wanted if len(ordered) else np.zeros(len(wanted), bool)
+
+
 def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids = WordIds()
     for batch in batches:
-        ids, labels, texts = batch.columns
-        found = [terms_of(t or "") for t in texts.to_pylist()]
+        docs, labels, texts = batch.columns
+        row, terms, counts = batch_terms(texts.to_pylist(), ids)
+        ends = pa.array(np.searchsorted(row, np.arange(len(docs) + 1)).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [
-                ids,
-                labels,
-                pa.array([list(f) for f in found], pa.list_(pa.string())),
-                pa.array([list(f.values()) for f in found], pa.list_(pa.int32())),
-            ],
+            [docs, labels, pa.ListArray.from_arrays(ends, pa.array(terms)), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))],
             names=["doc_id", "label", "terms", "counts"],
         )
 
@@ -153,91 +181,71 @@ def sample(docs: DataFrame, labels: DataFrame, max_per_label: int) -> tuple[Data
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(chosen, "doc_id")
         .select("doc_id", "label", "text")
-        .mapInArrow(_sampled_terms, "doc_id long, label int, terms array<string>, counts array<int>")
+        .mapInArrow(_sampled_terms, "doc_id long, label int, terms array<long>, counts array<int>")
     )
     return keep(rows, "label-terms"), totals
 
 
-def vocabulary(rows: DataFrame, min_rate: float, min_ratio: float, max_terms: int) -> list[str]:
-    """The terms whose document rates differ most; rates are compared where the terms are counted."""
-    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    found = rows.select("label", F.explode("terms").alias("term")).groupBy("term")
-    counted = found.agg(*[F.count_if(F.col("label") == y).alias(f"n{y}") for y in (0, 1)])
-    a, b = (F.col(f"n{y}") / max(n.get(y, 0), 1) for y in (0, 1))
-    telling = (F.greatest(a, b) >= min_rate) & (F.greatest(a, b) >= min_ratio * F.least(a, b))
-    return [r["term"] for r in counted.where(telling).orderBy(F.abs(a - b).desc(), "term").limit(max_terms).collect()]
-
-
-def example_vectors(rows: DataFrame, terms: list[str]) -> list[tuple]:
-    """(doc_id, label, terms, counts) of the sampled rows, of vocabulary terms only."""
-    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    both = F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(wanted, x["terms"]))
-    cut = rows.select("doc_id", "label", both["terms"].alias("terms"), both["counts"].alias("counts"))
-    return sorted((tuple(r) for r in cut.collect()), key=lambda r: (r[0], r[1], r[2]))
-
-
-def document_vectors(docs: DataFrame, terms: list[str], **columns: str) -> DataFrame:
-    """(doc_id, held_out, terms, counts): each text's counts of vocabulary terms."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+def frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many documents each term occurs, and how many documents there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        wanted = {t.rstrip("+") for t in index}
-        known: dict[str, tuple[str, ...]] = {}
+        ids, ordered, n = WordIds(), shared.value, 0
+        found = np.zeros(len(ordered), np.int64)
         for batch in batches:
-            ids, held, texts = batch.columns
-            at, counts = [], []
-            for text in texts.to_pylist():
-                found: dict[str, int] = {}
-                for word, n in Counter(_WORDS((text or "").lower())).items():
-                    hit = known.get(word)
-                    if hit is None:
-                        hit = tuple(t for t in word_terms(word) if t in wanted)
-                        if len(known) < 100_000:
-                            known[word] = hit
-                    for t in hit:
-                        found[t] = found.get(t, 0) + n
-                levels = {index[x]: n for t, n in found.items() for x in with_levels(t, n) if x in index}
-                at.append(sorted(levels))
-                counts.append([levels[t] for t in at[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [ids, held, pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                names=["doc_id", "held_out", "terms", "counts"],
-            )
-
-    doc_id, text = F.col(columns.get("doc_id", "doc_id")), F.col(columns.get("text", "text"))
-    return docs.select(doc_id.cast("long").alias("_0"), held_out(doc_id).alias("_1"), text.alias("_2")).mapInArrow(
-        count, "doc_id long, held_out boolean, terms array<int>, counts array<int>"
-    )
-
-
-def fit(rows: list, totals: dict[int, int], terms: list[str], frequency: dict[int, int], n_docs: int, k: int) -> Model:
-    index = {t: i for i, t in enumerate(terms)}
-    idf = np.log((1 + n_docs) / (1 + np.array([frequency.get(i, 0) for i in range(len(terms))], float))) + 1
-    drawn = Counter(r[1] for r in rows)
-    stands_for = {y: totals.get(y, 0) / drawn[y] for y in drawn}
-    blank = [0.0, 0.0]
-    columns, label, ids = [], [], []
-    for doc_id, y, words, counts in rows:
-        vector = np.zeros(len(terms))
-        for word, n in zip(words, counts, strict=True):
-            if (i := index.get(word)) is not None:
-                vector[i] = (1 + np.log(n)) * idf[i]
-        if norm := np.sqrt((vector**2).sum()):
-            columns.append(vector / norm)
-            label.append(y)
-            ids.append(doc_id)
-        else:
-            blank[y] += stands_for[y]
-    # near examples in one block: by heaviest term, then by id
-    order = sorted(range(len(columns)), key=lambda i: (int(columns[i].argmax()), ids[i]))
-    weights = np.array([columns[i] for i in order]).T.reshape(len(terms), len(order)) if order else np.zeros((len(terms), 0))
-    blocks = [weights[:, i : i + _BLOCK].max(axis=1) for i in range(0, len(order), _BLOCK)]
-    maxima = np.array(blocks).T if blocks else np.zeros((len(terms), 0))
-    y = np.array([label[i] for i in order], int)
-    return Model(
-        index, idf, weights, maxima, y, np.array([stands_for[v] for v in y], float), np.array([ids[i] for i in order], np.int64),
-        blank[1] / sum(blank) if sum(blank) else 0.0, k,
+            n += batch.num_rows
+            at, known = places(ordered, batch_terms(batch.columns[0].to_pylist(), ids)[1])
+            found += np.bincount(at[known], minlength=len(found))
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, found[at]])], names=["term", "n"])
+
+    got = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    place, n = got["term"].to_numpy(), got["n"].to_numpy()
+    frequency = np.zeros(len(terms))
+    frequency[place[place >= 0]] = n[place >= 0]
+    return frequency, int(n[place < 0].sum())
+
+
+def label_weight(n0: np.ndarray, n1: np.ndarray, all0: float, all1: float) -> np.ndarray:
+    """1 + G^0.75 / 2 for terms of n0 and n1 examples of the labels 0 and 1; nothing is cut off."""
+
+    def part(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return sum(np.where(x > 0, x * np.log(x / (a + b)), 0.0) for x in (a, b))
+
+    whole = part(np.array(float(all0)), np.array(float(all1)))
+    g = 2 * np.maximum(part(n0, n1) + part(all0 - n0, all1 - n1) - whole, 0.0)
+    return 1 + g**0.75 / 2
+
+
+def fit(docs: DataFrame, rows: DataFrame, totals: dict[int, int], k: int) -> Index:
+    drawn = rows.orderBy("doc_id", "label").toArrow().combine_chunks()
+    ids, label = drawn["doc_id"].to_numpy(), drawn["label"].to_numpy().astype(int)
+    lists = drawn["terms"].combine_chunks()
+    example = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    counts = drawn["counts"].combine_chunks().flatten().to_numpy().astype(float)
+    terms, place = np.unique(lists.flatten().to_numpy().astype(np.int64), return_inverse=True)
+    frequency, n_docs = frequencies(docs, terms)
+    n1 = np.bincount(place, weights=label[example].astype(float), minlength=len(terms))
+    n = np.bincount(place, minlength=len(terms))
+    idf = lambda f: np.log((1 + n_docs) / (1 + f)) + 1
+    weight = idf(frequency) * label_weight(n - n1, n1, float((label == 0).sum()), float((label == 1).sum()))
+    value = (1 + np.log(counts)) * weight[place]
+    value /= np.sqrt(np.bincount(example, weights=value**2, minlength=len(ids)))[example]
+    chosen = np.argsort(-n, kind="stable")[:_DENSE]
+    chosen = chosen[n[chosen] >= _COMMON]
+    dense_row = np.full(len(terms), -1, np.int64)
+    dense_row[chosen] = np.arange(len(chosen))
+    dense = np.zeros((len(chosen), len(ids)))
+    common = dense_row[place] >= 0
+    dense[dense_row[place[common]], example[common]] = value[common]
+    order = np.argsort(place, kind="stable")
+    vote = np.array([totals.get(y, 0) / max((label == y).sum(), 1) for y in (0, 1)])[label] if len(label) else np.zeros(0)
+    prior = float((vote * label).sum() / vote.sum()) if len(label) else 0.0
+    return Index(
+        terms, weight, float(idf(0)), dense_row, dense, np.cumsum(n) - n, n, example[order].astype(np.int32), value[order],
+        label, vote, ids, prior, k,
     )
 
 
@@ -250,9 +258,6 @@ def score(
     k: int = 15,
     threshold: float = 0.7,
     max_per_label: int = 4000,
-    min_rate: float = 0.02,
-    min_ratio: float = 8.0,
-    max_terms: int = 512,
     **columns: str,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence), one row per document.
@@ -262,17 +267,14 @@ def score(
     spark = tune(docs.sparkSession)
     named = docs.select(F.col(columns.get("doc_id", "doc_id")).alias("doc_id"), F.col(columns.get("text", "text")).alias("text"))
     rows, totals = sample(named, labels, max_per_label)
-    terms = vocabulary(rows, min_rate, min_ratio, max_terms)
-    examples = example_vectors(rows, terms)
-    vectors = keep(document_vectors(named, terms), "term-counts")
-    frequency = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
-    shared = spark.sparkContext.broadcast(fit(examples, totals, terms, frequency, vectors.count(), k))
+    shared = spark.sparkContext.broadcast(fit(named, rows, totals, k))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        index, words = shared.value, WordIds()
         for batch in batches:
-            ids, held, at, counts = batch.columns
-            judged = [model.score(a, c) for a, c in zip(at.to_pylist(), counts.to_pylist(), strict=True)]
+            ids, held, texts = batch.columns
+            near = index.cosines(len(ids), *batch_terms(texts.to_pylist(), words))
+            judged = [index.judge(c) for c in near]
             scores = [s for s, _ in judged]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -285,7 +287,8 @@ def score(
                 names=["doc_id", "held_out", "score", "predicted", "evidence"],
             )
 
-    return vectors.mapInArrow(judge, f"doc_id long, held_out boolean, score double, predicted int, evidence {_EVIDENCE}")
+    given = named.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("h"), "text")
+    return given.mapInArrow(judge, f"doc_id long, held_out boolean, score double, predicted int, evidence {_EVIDENCE}")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:

@@ -72,6 +72,29 @@ def test_toxicity_search_is_exact():
         assert set(near) == want and np.allclose(cosines, exact[near])
 
 
+def toxic_corpus(spark, kinds=1):
+    """Clean prose, and short toxic texts of several kinds with one telling word each."""
+    rng = __import__("random").Random(1)
+    prose = lambda n: [f"word{rng.randrange(3000)}" .translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(n)]
+    taught = [i for i in range(2000) if __import__("zlib").crc32(str(i).encode()) % 3 != 1]
+    held = [i for i in range(2000) if i not in set(taught)]
+    name = lambda j: "vile" + "abcdefghijklmnopqrstuvwxyz"[j // 26] + "abcdefghijklmnopqrstuvwxyz"[j % 26]
+    rows, labels = [], []
+    for n, i in enumerate(taught[:800]):
+        rows.append((i, " ".join(prose(20) + [name(n // 4 % kinds)] * 3 if n % 4 == 0 else prose(30 if n % 4 > 1 else 2000))))
+        labels.append((i, None, int(n % 4 == 0)))
+    return prose, name, held, rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_one_listed_word_does_not_make_a_long_clean_text_toxic(spark):
+    prose, name, held, rows, labels = toxic_corpus(spark)
+    clean = " ".join(prose(26_000))
+    rows += [(held[0], clean), (held[1], clean + " " + name(0)), (held[2], " ".join(prose(30)) + " vileable"), (held[3], " ".join(prose(20) + [name(0)] * 3))]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert [got[held[j]].predicted for j in range(4)] == [0, 0, 0, 1]
+    assert abs(got[held[1]].score - got[held[0]].score) < 0.3
+
+
 def test_lm_scores(tables):
     docs, labels = tables
     rows = lmscore.score(docs, labels).collect()

@@ -95,6 +95,40 @@ def test_one_listed_word_does_not_make_a_long_clean_text_toxic(spark):
     assert abs(got[held[1]].score - got[held[0]].score) < 0.3
 
 
+def test_kinds_of_toxicity_below_any_rate_are_found(spark):
+    """100 kinds, each in 1% of the toxic rows: its examples are found, and cosines and scores equal brute force."""
+    prose, name, held, rows, labels = toxic_corpus(spark, kinds=100)
+    rows += [(held[j], " ".join([name(j)] * 3)) for j in range(100)] + [(held[100 + j], " ".join(prose(10) + [name(j)] * 3)) for j in range(20)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    words, toxic = {i: Counter(t.split()) for i, t in rows}, {r.doc_id: r.toxic for r in labels.collect()}
+    for j in range(100):
+        assert {e.doc_id for e in got[held[j]].evidence} == {i for i in toxic if name(j) in words[i]}
+
+    docs = Counter(w for c in words.values() for w in c)
+    holders = [Counter(w for i, y in toxic.items() if y == label for w in words[i]) for label in (0, 1)]
+    n = [list(toxic.values()).count(y) for y in (0, 1)]
+    part = lambda a, b: sum(x * math.log(x / (a + b)) for x in (a, b) if x)
+
+    def weight(w):
+        idf, (a, b) = math.log((1 + len(rows)) / (1 + docs[w])) + 1, (holders[0][w], holders[1][w])
+        if not a + b:
+            return math.log(1 + len(rows)) + 1
+        return idf * (1 + max(2 * (part(a, b) + part(n[0] - a, n[1] - b) - part(*n)), 0) ** 0.75 / 2)
+
+    def vector(c):
+        v = {w: (1 + math.log(k)) * weight(w) for w, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {i: vector(words[i]) for i in toxic}
+    for i in held[95:120]:
+        query = vector(words[i])
+        near = sorted(((sum(x * v.get(w, 0) for w, x in query.items()), y) for v, y in ((examples[e], toxic[e]) for e in toxic)), reverse=True)[:15]
+        votes = sum(c for c, _ in near)
+        want = (sum(c * y for c, y in near) + 0.1 * n[1] / sum(n)) / (votes + 0.1)
+        assert got[i].score == pytest.approx(want, abs=1e-6)
+
+
 def test_lm_scores(tables):
     docs, labels = tables
     rows = lmscore.score(docs, labels).collect()

@@ -5,30 +5,34 @@ labelled good documents, the background model from all documents.  A document's
 score is its cross-entropy per token under the target model less that under the
 background model, in bits; lower means closer to the target.
 
-Counts cover the whole corpus, and every word and every bigram keeps its own.
-The models interpolate with a discount:
+Both models are smoothed alike, with Dirichlet priors from their own words:
+
+    p(b | a) = (c(ab) + MU * p(b)) / (c(a) + MU),   p(b) = (c(b) + 1) / (N + V)
 
-    p(b | a) = (max(c(ab) - D, 0) + D * t(a) * p(b)) / c(a),   p(b) = (c(b) + 1) / (N + V)
+A document's own tokens are left out of all counts that it is scored with, so that
+a text is judged by what other documents say, and one that occurs twice stands out.
 
-where t(a) is the number of different bigrams that begin with a.  The counts are
-tables, and each bigram's gain (log2 of p under the background model less that
-under the target's) is computed there once.  The gains of the most frequent
-``max_broadcast`` bigrams are broadcast and looked up where texts are read; all
-other bigrams of a document are joined with the table of gains.  The bound
-decides which way a gain travels and has no part in any score.
+Counts cover the whole corpus, and every word and every bigram keeps its own.
+Words and bigrams are entries of one table: a key, its count in all documents and
+its count in the target's.  A bigram that occurs once is not stored: the document
+that holds it knows its counts.  The ``max_broadcast`` most frequent entries are
+broadcast.  A document asks the table for its other keys, by a join on the key;
+what it is told comes back by a join on the hash of its text, and it is scored in
+one place.  The bound decides which way a count travels and has no part in a score;
+what is joined is rare by definition, so no key is hot.
 
-Words and bigrams go by 64-bit hashes; two bigrams that shared one would share
-their counts (expected once in about 70 corpora of 700 million different bigrams).
+Keys are 64-bit hashes; two bigrams that shared one would share their counts
+(expected once in about 70 corpora of 700 million different bigrams).
 
 Cases: null and empty texts have no tokens and score 0 over 0 tokens.  Labels
 that are null, of unknown ids or on held-out rows teach nothing; without any
-target document every score is 0.  Repeated rows count as often as they occur.
+target document every score is 0.  Repeated rows count as often as they occur,
+and are scored alike; a text asks once a batch, however many rows hold it.
 An empty table gives an empty table.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,64 +40,83 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm._common import WordIds, keep
+from faultline.llm import words
+from faultline.llm._common import keep
 from faultline.llm.toxicity import held_out
 
-_WORDS = re.compile(r"\w+|[^\w\s]").findall
-_DISCOUNT = 0.75
-#: The id of the end of a document.
-END = 1
+MU = 8.0
+#: The hash of the end of a document, which no word has by intent.
+END = np.uint64(1)
+_FLUSH = 1 << 20
 
 
-def words_of(text: str) -> list[str]:
-    return _WORDS(text.lower())
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    return words.classes(r"\w", r"[^\w\s]")
 
 
-def id_stream(text: str, ids: WordIds) -> list[int]:
-    words = words_of(text)
-    return [END, *map(ids.__getitem__, words), END] if words else []
+def word_keys(tokens: np.ndarray) -> np.ndarray:
+    """Keys of words are even."""
+    return (tokens & ~np.uint64(1)).astype(np.int64)
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each pair of ids (the finalizer of MurmurHash3 over both)."""
-    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.astype(np.uint64) + np.uint64(0x7F4A7C159E3779B9))
-    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x ^= x >> np.uint64(33)
-        x *= np.uint64(by)
-    return (x ^ (x >> np.uint64(33))).astype(np.int64)
-
-
-def batch_pairs(texts: list[str | None], ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and second ids of all bigrams of a batch, and the place of each one's text."""
-    streams = [id_stream(t or "", ids) for t in texts]
-    sizes = np.array([len(s) for s in streams], np.int64)
-    flat = np.array([i for s in streams for i in s], np.int64)
-    row = np.repeat(np.arange(len(streams)), sizes)
-    inside = np.flatnonzero(row[:-1] == row[1:])
-    return flat[inside], flat[inside + 1], row[inside]
-
-
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(pair, a, b, n, m): bigrams counted in all documents and in the target's, one batch at a time."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
-        for batch in batches:
-            target, texts = batch.columns
-            a, b, row = batch_pairs(texts.to_pylist(), ids)
-            if not len(row):
-                continue
-            good = np.array([bool(g) for g in target.to_pylist()], np.int64)[row]
-            keys = pair_keys(a, b)
-            order = np.argsort(keys)
-            ordered = keys[order]
-            starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            one = order[starts]
-            n = np.diff(np.r_[starts, len(order)])
-            m = np.add.reduceat(good[order], starts)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[one], a[one], b[one], n, m)], names=["pair", "a", "b", "n", "m"])
-
-    return docs.mapInArrow(count, "pair long, a long, b long, n long, m long")
+    """Keys of bigrams are odd."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x7F4A7C159E3779B9))
+    return (words.mix(x) | np.uint64(1)).astype(np.int64)
+
+
+def bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the text, first word, second word) of all bigrams of a batch, with the end before and after each text."""
+    row, token = words.cut(texts, tables())
+    n = np.bincount(row, minlength=len(texts))
+    some = np.flatnonzero(n)
+    size = n[some] + 2
+    stream = np.full(int(size.sum()), END)
+    inside = np.ones(len(stream), bool)
+    last = np.cumsum(size) - 1
+    inside[last] = inside[last - size + 1] = False
+    stream[inside] = token
+    owner = np.repeat(some, size)
+    pairs = np.ones(max(len(stream) - 1, 0), bool)
+    pairs[last[:-1]] = False
+    at = np.flatnonzero(pairs)
+    return owner[at], stream[at], stream[at + 1]
+
+
+def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, in order, with the sums of its counts."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return ordered[starts], *(np.add.reduceat(c[order], starts) if len(keys) else c for c in counts)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, m): words and bigrams counted in all documents and in the target's, by about ``_FLUSH`` keys at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def out() -> pa.RecordBatch:
+        found = summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["key", "n", "m"])
+
+    for batch in batches:
+        target, texts = batch.columns
+        row, a, b = bigrams(texts.to_pylist())
+        good = np.array(target.to_pylist(), bool)[row].astype(np.int64)
+        # a word is counted where it is second; the end is where the text's last word is first
+        keys = np.concatenate([word_keys(b), pair_keys(a, b)])
+        held.append(summed(keys, np.ones(len(keys), np.int64), np.concatenate([good, good])))
+        if sum(len(h[0]) for h in held) >= _FLUSH:
+            yield out()
+    if held:
+        yield out()
+
+
+def entries(marked: DataFrame) -> DataFrame:
+    """(key, n, m) of every word, and of every bigram that occurs more than once."""
+    counted = marked.select("good", "text").mapInArrow(_count, "key long, n long, m long")
+    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > 1 or key % 2 = 0")
 
 
 def most_frequent(counted: DataFrame, most: int) -> Column:
@@ -113,74 +136,58 @@ def most_frequent(counted: DataFrame, most: int) -> Column:
     return level >= least
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, most: int) -> DataFrame:
-    """rows joined with table by key: its frequent rows are broadcast, the others joined by a shuffle."""
-    frequent = most_frequent(table, most)
-    common = F.broadcast(table.where(frequent).drop("n"))
-    rare = table.where(~frequent).drop("n")
-    return rows.join(common, key).unionByName(rows.join(common.select(key), key, "left_anti").join(rare, key))
+def among(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key lies in an ordered array, and whether it is there."""
+    at = np.minimum(np.searchsorted(ordered, wanted), max(len(ordered) - 1, 0))
+    return at, ordered[at] == wanted if len(ordered) else np.zeros(len(wanted), bool)
 
 
-def log_p(c: str, first: str, followers: str, second: str, total: int, size: int) -> Column:
-    one = (F.col(second) + 1) / F.lit(float(total + size))
-    held = F.greatest(F.col(c) - _DISCOUNT, F.lit(0.0))
-    return F.log2(F.when(F.col(first) > 0, (held + _DISCOUNT * F.col(followers) * one) / F.col(first)).otherwise(one))
+def asked(hashes: np.ndarray, texts: list[str | None], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the text, key) of the keys of each different text that are not known, each once."""
+    row, a, b = bigrams(texts)
+    # rows rise among words and among bigrams, and a stable sort keeps that within a key
+    keys, row = np.concatenate([word_keys(b), pair_keys(a, b)]), np.concatenate([row, row])
+    order = np.argsort(keys, kind="stable")
+    keys, row = keys[order], row[order]
+    new = ~among(known, keys)[1]
+    new[1:] &= (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    return hashes[row[new]], keys[new]
 
 
-def gains(pairs: DataFrame, max_words: int) -> tuple[DataFrame, bool]:
-    """(pair, n, gain) of every bigram, and whether the target has any."""
-    firsts = keep(
-        pairs.groupBy("a").agg(
-            F.sum("n").alias("n"), F.sum("n").alias("first_n"), F.sum("m").alias("first_m"),
-            F.count_if(F.col("n") > 0).alias("followers_n"), F.count_if(F.col("m") > 0).alias("followers_m"),
-        ),
-        "lm-firsts",
-    )
-    seconds = keep(pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum("n").alias("second_n"), F.sum("m").alias("second_m")), "lm-seconds")
-    words, n, m = seconds.agg(F.count("*"), F.sum("second_n"), F.sum("second_m")).first()
-    size = words + 1  # the words, the end and a place for the unseen
-    full = look_up(look_up(pairs, firsts, "a", max_words), seconds, "b", max_words)
-    gain = log_p("n", "first_n", "followers_n", "second_n", n or 0, size) - log_p("m", "first_m", "followers_m", "second_m", m or 0, size)
-    return keep(full.select("pair", "n", gain.alias("gain")), "lm-gains"), bool(m)
+Known = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def document_gains(named: DataFrame, keys: np.ndarray, values: np.ndarray) -> DataFrame:
-    """For each row of docs its head with the sum of the gains at hand, and a row for each other bigram."""
-    shared = named.sparkSession.sparkContext.broadcast((keys, values))
+def others(row: np.ndarray, keys: np.ndarray, good: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each key in all documents but its own, and in the target's documents but its own."""
+    each, place = np.unique(keys, return_inverse=True)
+    both = place * len(good) + row
+    order = np.argsort(both)
+    new = np.ones(len(both), bool)
+    new[1:] = both[order[1:]] != both[order[:-1]]
+    own = np.empty(len(both), np.int64)
+    own[order] = np.diff(np.append(np.flatnonzero(new), len(both)))[np.cumsum(new) - 1]
+    at, there = among(known[0], each)
+    n, m = (np.where(there, c[at], 0)[place] if len(c) else np.zeros(len(keys), np.int64) for c in known[1:])
+    return np.maximum(n - own, 0), np.maximum(m - own * good[row], 0)
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, (keys, values) = WordIds(), shared.value
-        for batch in batches:
-            rows, doc_ids, held, texts = batch.columns
-            a, b, row = batch_pairs(texts.to_pylist(), ids)
-            pair = pair_keys(a, b)
-            at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
-            known = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
-            total = np.bincount(row[known], weights=values[at[known]], minlength=len(rows))
-            tokens = np.maximum(np.bincount(row, minlength=len(rows)) - 1, 0)
-            left, other = row[~known], pair[~known]
-            order = np.lexsort((other, left))
-            left, other = left[order], other[order]
-            starts = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (other[1:] != other[:-1])]) if len(left) else np.zeros(0, np.int64)
-            times, blank = np.diff(np.r_[starts, len(left)]), len(starts)
-            number = np.asarray(rows.to_numpy())
-            heads, none = len(rows), lambda kind: pa.nulls(blank, kind)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[number, number[left[starts]]]),
-                    pa.concat_arrays([doc_ids.cast(pa.int64()), none(pa.int64())]),
-                    pa.concat_arrays([held.cast(pa.bool_()), none(pa.bool_())]),
-                    pa.concat_arrays([pa.array(tokens.astype(np.int64)), none(pa.int64())]),
-                    pa.concat_arrays([pa.array(total.astype(np.float64)), none(pa.float64())]),
-                    pa.concat_arrays([pa.nulls(heads, pa.int64()), pa.array(other[starts])]),
-                    pa.concat_arrays([pa.nulls(heads, pa.int64()), pa.array(times.astype(np.int64))]),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "gained", "pair", "times"],
-            )
-
-    return named.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("h"), "text").mapInArrow(
-        look, "row long, doc_id long, held_out boolean, n_tokens long, gained double, pair long, times long"
-    )
+
+def judged(texts: list[str | None], good: np.ndarray, known: Known, totals: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, mean over its bigrams of log2 p under the background model less that under the target's) of each text.
+
+    known: sorted keys with n and m.  A bigram that is not among them occurs once, where it stands.
+    """
+    row, a, b = bigrams(texts)
+    steps = np.bincount(row, minlength=len(texts))
+    pair, second = others(row, pair_keys(a, b), good, known), others(row, word_keys(b), good, known)
+    # a bigram's first word is the second of the one before; the end stands before the first
+    before = np.arange(len(row)) - 1
+    ends = np.cumsum(steps) - 1
+    before[(ends - steps + 1)[steps > 0]] = ends[steps > 0]
+    out = np.zeros(len(row))
+    for sign, which, here in ((1, 0, steps), (-1, 1, steps * good)):
+        one = (second[which] + 1) / ((totals[which] - here)[row] + totals[2])
+        out += sign * np.log2((pair[which] + MU * one) / (second[which][before] + MU))
+    return np.maximum(steps - 1, 0), np.bincount(row, weights=out, minlength=len(texts)) / np.maximum(steps, 1)
 
 
 def score(
@@ -192,26 +199,43 @@ def score(
     doc_id: str = "doc_id",
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, score), one row per document."""
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    good = keep(labels.where(f"doc_id is not null and {target}").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_good")).distinct(), "lm-target")
-    marked = named.join(good, named["doc_id"] == good["_good"], "left").select(F.col("_good").isNotNull().alias("good"), "text")
-    counted = pair_counts(marked).groupBy("pair").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("n").alias("n"), F.sum("m").alias("m"))
-    table, taught = gains(keep(counted, "lm-pairs"), max_broadcast // 5)
+    context = docs.sparkSession.sparkContext
+    good = labels.where(f"doc_id is not null and {target}").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("_good")).distinct()
+    good = keep(good, "lm-target")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = own.join(good, own["doc_id"] == good["_good"], "left").select("doc_id", F.col("_good").isNotNull().alias("good"), "text")
+
+    table = keep(entries(named), "lm-counts")
+    word = F.col("key") % 2 == 0
+    n, m, size = table.where(word).agg(F.sum("n"), F.sum("m"), F.count(F.lit(1))).first()
+    totals = (n or 0, m or 0, size + 1)  # and a place for the unseen
     frequent = most_frequent(table, max_broadcast)
-    near = table.where(frequent).select("pair", "gain").toArrow()
-    order = np.argsort(near["pair"].to_numpy())
-    parts = keep(document_gains(named, near["pair"].to_numpy()[order], near["gain"].to_numpy()[order]), "lm-documents")
-    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"))]
-    far = parts.where("pair is not null").select("row", "pair", "times").join(table.where(~frequent).select("pair", "gain"), "pair")
-    every = (
-        parts.where("pair is null")
-        .select("row", "doc_id", "held_out", "n_tokens", "gained")
-        .unionByName(far.select("row", *nothing, (F.col("gain") * F.col("times")).alias("gained")))
+    near = table.where(frequent).toArrow()
+    order = np.argsort(near["key"].to_numpy())
+    shared = context.broadcast(tuple(near[c].to_numpy()[order] for c in ("key", "n", "m")))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            once = np.sort(np.unique(batch.columns[0].to_numpy(), return_index=True)[1])
+            different = batch.take(pa.array(once))
+            made = asked(different.columns[0].to_numpy(), different.columns[1].to_pylist(), shared.value[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["at", "key"])
+
+    hashed = F.xxhash64("text").alias("at")
+    asks = own.select(hashed, "text").mapInArrow(ask, "at long, key long")
+    told = asks.join(table.where(~frequent), "key").groupBy("at").agg(F.collect_set(F.struct("key", "n", "m")).alias("told"))
+    met = named.withColumn("at", F.xxhash64("text")).join(keep(told, "lm-told"), "at", "left")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held, target, texts, told = batch.columns
+            fields = [f.to_numpy() for f in told.flatten().flatten()]
+            key, at = np.unique(np.r_[shared.value[0], fields[0]], return_index=True)
+            known = key, *(np.r_[s, f][at] for s, f in zip(shared.value[1:], fields[1:], strict=True))
+            tokens, mean = judged(texts.to_pylist(), np.array(target.to_pylist(), bool), known, totals)
+            mean = mean if totals[1] else np.zeros(len(mean))
+            yield pa.RecordBatch.from_arrays([ids, held, pa.array(tokens), pa.array(mean)], names=["doc_id", "held_out", "n_tokens", "score"])
+
+    return met.select("doc_id", held_out(F.col("doc_id")).alias("h"), "good", "text", "told").mapInArrow(
+        judge, "doc_id long, held_out boolean, n_tokens long, score double"
     )
-    mean = F.sum("gained") / (F.max("n_tokens") + 1)
-    return every.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        (mean if taught else F.lit(0.0)).alias("score"),
-    ).drop("row")

@@ -138,64 +138,75 @@ def test_lm_scores(tables):
     assert auc(held) > 0.7
 
 
+def brute_lm(texts, teach):
+    """(doc_id, tokens, score) of every row, each judged by all other rows."""
+    tokens = [re.findall(r"\w+|[^\w\s]", (t or "").lower()) for _, t in texts]
+    streams = [["<end>", *w, "<end>"] if w else [] for w in tokens]
+    pairs = [Counter(zip(s, s[1:])) for s in streams]
+    seconds = [Counter(s[1:]) for s in streams]
+    size = len({w for s in streams for w in s}) + 1
+    every = [sum(c, Counter()) for c in (pairs, seconds)]
+    good = [d in teach for d, _ in texts]
+    right = [sum((c for c, g in zip(of, good) if g), Counter()) for of in (pairs, seconds)]
+    out = Counter()
+    for i, (d, _) in enumerate(texts):
+        total = 0.0
+        for a, b in zip(streams[i], streams[i][1:]):
+            for sign, model, mine in ((1, every, True), (-1, right, good[i])):
+                c = lambda which, key: model[which][key] - (mine and (pairs, seconds)[which][i][key])  # noqa: B023
+                n = sum(model[1].values()) - (mine and len(streams[i]) - 1)
+                one = (c(1, b) + 1) / (n + size)
+                total += sign * math.log2((c(0, (a, b)) + lmscore.MU * one) / (c(1, a) + lmscore.MU))
+        out[(d, len(tokens[i]), round(total / (len(streams[i]) - 1), 6) + 0.0 if streams[i] and teach else 0.0)] += 1
+    return out
+
+
+def lm_rows(docs, labels, **settings):
+    return Counter((r.doc_id, r.n_tokens, round(r.score, 6) + 0.0) for r in lmscore.score(docs, labels, **settings).collect())
+
+
 def test_lm_scores_against_brute_force(docs, spark, texts):
-    labels = spark.createDataFrame([(5, 1, 0), (9, 1, 1), (10, 1, 0), (12, 0, 0), (14, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    teach = {d for d in (5, 9, 10, 14) if __import__("zlib").crc32(str(d).encode()) % 3 != 1}
-    words = lambda t: re.findall(r"\w+|[^\w\s]", (t or "").lower())
-    vocabulary = sorted({w for _, t in texts for w in words(t)})
-    index = {w: i + 2 for i, w in enumerate(vocabulary)}
-    size = len(index) + 2
-    stream = lambda t: [1, *[index[w] for w in words(t)], 1] if words(t) else []
-    models = []
-    for chosen in (lambda d: d in teach, lambda d: True):
-        pairs = Counter(p for d, t in texts if chosen(d) for p in zip(stream(t), stream(t)[1:]))
-        first, second = Counter(), Counter()
-        for (a, b), n in pairs.items():
-            first[a] += n
-            second[b] += n
-        total = sum(second.values())
-
-        def p(a, b, pairs=pairs, first=first, second=second, total=total):
-            one = (second[b] + 1) / (total + size)
-            if not first[a]:
-                return one
-            kept = sum(min(n, 0.75) for (x, _), n in pairs.items() if x == a)
-            return max(pairs[a, b] - 0.75, 0) / first[a] + kept / first[a] * one
-
-        models.append(p)
-    got = {(r.doc_id, r.n_tokens): r.score for r in lmscore.score(docs, labels).collect()}
-    for d, t in texts:
-        s = stream(t)
-        if len(s) > 300:
-            continue
-        want = sum(math.log2(models[1](a, b)) - math.log2(models[0](a, b)) for a, b in zip(s, s[1:])) / (len(s) - 1) if s else 0.0
-        assert got[d, max(len(s) - 2, 0)] == pytest.approx(want, abs=1e-6)
-
-
-def test_lm_scores_do_not_depend_on_what_is_broadcast(docs, spark):
+    short = [(d, t) for d, t in texts if len(t or "") < 20_000]
+    labels = spark.createDataFrame([(5, 1, 0), (9, 1, 1), (10, 1, 0), (12, 0, 0), (20, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    teach = {d for d in (5, 9, 10, 20) if __import__("zlib").crc32(str(d).encode()) % 3 != 1}
+    assert teach
+    few = docs.where("text is null or length(text) < 20000")
+    want = brute_lm(short, teach)
+    for most in (500_000, 0, 50):  # what is broadcast has no part in a score
+        assert lm_rows(few, labels, max_broadcast=most) == want
+
+
+def test_lm_scores_of_a_text_of_many_batches(docs, spark, texts):
+    """The longest text, and rows in many partitions, count as they do in one batch."""
     labels = spark.createDataFrame([(d, 1, 0) for d in (5, 9, 10, 14, 100, 101, 104)], "doc_id long, quality int, toxic int")
-    rows = lambda most: sorted((str(r.doc_id), r.held_out, r.n_tokens, round(r.score, 9)) for r in lmscore.score(docs, labels, max_broadcast=most).collect())
-    whole = rows(500_000)
-    assert any(s for *_, s in whole)
-    assert rows(0) == whole and rows(50) == whole
+    whole = lm_rows(docs, labels)
+    assert len({s for _, _, s in whole}) > 20 and sum(whole.values()) == len(texts)
+    assert lm_rows(docs.repartition(7), labels, max_broadcast=50) == whole
+
+
+def test_a_text_that_occurs_twice_stands_apart(spark):
+    rng = __import__("random").Random(4)
+    rows = [(i, " ".join(rng.choice([f"w{rng.randrange(300)}", f"r{rng.random()}"]) for _ in range(60))) for i in range(200)]
+    rows += [(200 + i, rows[i][1]) for i in range(5)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100, 160)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    twice = [got[i] for i in (*range(5), *range(200, 205))]
+    assert min(twice) > max(s for i, s in got.items() if 5 <= i < 200)
 
 
 def test_lm_scores_beyond_any_fixed_number_of_words(spark):
-    """40,000 words, each in one pair of texts: the last text's words still count as words of their own."""
+    """40,000 words, each in one pair of texts: every word and bigram keeps a count of its own."""
     texts = [(i, " ".join(f"w{j}" for j in range(i // 2 * 400, i // 2 * 400 + 400))) for i in range(200)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
     taught = [i for i in range(200) if __import__("zlib").crc32(str(i).encode()) % 3 != 1][-1]
     labels = spark.createDataFrame([(taught, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.score for r in lmscore.score(docs, labels).collect()}
-    n, size = 401 * 200, 40_000 + 2
-    # words of the taught text: one follower each, seen twice in all documents and once in the target's
-    background = (2 - 0.75 + 0.75 * 3 / (n + size)) / 2
-    target = 0.25 + 0.75 * 2 / (401 + size)
-    ends = lambda c, first, t, second, total: (max(c - 0.75, 0) + 0.75 * t * (second + 1) / (total + size)) / first
-    want = 399 * (math.log2(background) - math.log2(target))
-    want += math.log2(ends(2, 200, 100, 2, n)) - math.log2(ends(1, 1, 1, 1, 401))
-    want += math.log2(ends(2, 2, 1, 200, n)) - math.log2(ends(1, 1, 1, 1, 401))
-    assert got[taught] == pytest.approx(want / 401, abs=1e-9)
+    got = {r.doc_id: r.score for r in lmscore.score(spark.createDataFrame(texts, "doc_id long, text string"), labels).collect()}
+    mu, size, n = lmscore.MU, 40_000 + 2, 401 * 199
+    twin = taught ^ 1  # its other documents hold each of its words once, and one of the target's does too
+    one, own = 2 / (n + size), 2 / (401 + size)
+    inner = math.log2((1 + mu * one) / (1 + mu)) - math.log2((1 + mu * own) / (1 + mu))
+    start = math.log2((1 + mu * one) / (199 + mu)) - math.log2((1 + mu * own) / (1 + mu))
+    end = math.log2((1 + mu * 200 / (n + size)) / (1 + mu)) - math.log2((1 + mu * own) / (1 + mu))
+    assert got[twin] == pytest.approx((399 * inner + start + end) / 401, abs=1e-9)
 
 
 def test_lm_scores_of_nothing(docs, no_docs, spark, texts):

@@ -18,8 +18,10 @@ its count in the target's.  A bigram that occurs once is not stored: the documen
 that holds it knows its counts.  The ``max_broadcast`` most frequent entries are
 broadcast.  A document asks the table for its other keys, by a join on the key;
 what it is told comes back by a join on the hash of its text, and it is scored in
-one place.  The bound decides which way a count travels and has no part in a score;
-what is joined is rare by definition, so no key is hot.
+one place.  A bit map of ``FILTER_BITS`` bits tells most keys that are not in the
+table, so that they need not be asked for; it is left out where the table is too
+large for it.  Both bounds decide what travels and have no part in a score; what
+is joined is rare by definition, so no key is hot.
 
 Keys are 64-bit hashes; two bigrams that shared one would share their counts
 (expected once in about 70 corpora of 700 million different bigrams).
@@ -48,6 +50,8 @@ MU = 8.0
 #: The hash of the end of a document, which no word has by intent.
 END = np.uint64(1)
 _FLUSH = 1 << 20
+#: Bits of the map of keys, by the upper bits of a key, and the part of it that one task makes.
+FILTER_BITS, _SLICE_BITS = 28, 22
 
 
 def tables() -> tuple[np.ndarray, np.ndarray]:
@@ -142,16 +146,46 @@ def among(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, ordered[at] == wanted if len(ordered) else np.zeros(len(wanted), bool)
 
 
-def asked(hashes: np.ndarray, texts: list[str | None], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the text, key) of the keys of each different text that are not known, each once."""
+def key_map(rare: DataFrame) -> np.ndarray:
+    """FILTER_BITS to the power of two bits, with those set that a key of the table has."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch.columns[0].to_numpy().astype(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            part = place >> np.uint64(_SLICE_BITS)
+            for which in np.unique(part).tolist():
+                flags = slices.setdefault(which, np.zeros(1 << _SLICE_BITS, bool))
+                flags[place[part == which] & np.uint64((1 << _SLICE_BITS) - 1)] = True
+        for which, flags in slices.items():
+            yield pa.RecordBatch.from_arrays([pa.array([which], pa.int64()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["slice", "bits"])
+
+    n = 1 << (FILTER_BITS - _SLICE_BITS)
+    cut = F.shiftrightunsigned("key", 64 - FILTER_BITS + _SLICE_BITS)
+    made = rare.select("key").repartition(n, cut).mapInArrow(mark, "slice long, bits binary").toArrow()
+    out = np.zeros((n, (1 << _SLICE_BITS) // 8), np.uint8)
+    for which, bits in zip(made["slice"].to_pylist(), made["bits"].to_pylist(), strict=True):
+        out[which] |= np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def possible(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """Whether the table may hold each key."""
+    if bits is None:
+        return np.ones(len(keys), bool)
+    place = keys.astype(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bits[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
+def asked(hashes: np.ndarray, texts: list[str | None], known: np.ndarray, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the text, key) of the keys of each different text that are not known, each once, by text."""
     row, a, b = bigrams(texts)
-    # rows rise among words and among bigrams, and a stable sort keeps that within a key
     keys, row = np.concatenate([word_keys(b), pair_keys(a, b)]), np.concatenate([row, row])
-    order = np.argsort(keys, kind="stable")
-    keys, row = keys[order], row[order]
-    new = ~among(known, keys)[1]
-    new[1:] &= (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-    return hashes[row[new]], keys[new]
+    each, place = np.unique(keys, return_inverse=True)
+    wanted = possible(bits, each) & ~among(known, each)[1]
+    inside = wanted[place]
+    row, place = np.divmod(np.unique(row[inside] * len(each) + place[inside]), max(len(each), 1))
+    return hashes[row], each[place]
 
 
 Known = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -213,29 +247,34 @@ def score(
     near = table.where(frequent).toArrow()
     order = np.argsort(near["key"].to_numpy())
     shared = context.broadcast(tuple(near[c].to_numpy()[order] for c in ("key", "n", "m")))
+    rare = table.where(~frequent)
+    bits = context.broadcast(key_map(rare) if rare.count() <= 1 << FILTER_BITS else None)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             once = np.sort(np.unique(batch.columns[0].to_numpy(), return_index=True)[1])
             different = batch.take(pa.array(once))
-            made = asked(different.columns[0].to_numpy(), different.columns[1].to_pylist(), shared.value[0])
+            made = asked(different.columns[0].to_numpy(), different.columns[1].to_pylist(), shared.value[0], bits.value)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["at", "key"])
 
-    hashed = F.xxhash64("text").alias("at")
-    asks = own.select(hashed, "text").mapInArrow(ask, "at long, key long")
-    told = asks.join(table.where(~frequent), "key").groupBy("at").agg(F.collect_set(F.struct("key", "n", "m")).alias("told"))
+    # equal texts of several batches ask the same; a rare key has few who ask
+    asks = own.select(F.xxhash64("text").alias("at"), "text").mapInArrow(ask, "at long, key long").repartition("key").distinct()
+    counts = (F.col("n") * 2**32 + F.col("m")).alias("counts")
+    told = asks.join(rare.select("key", counts), "key").groupBy("at").agg(F.collect_list("key").alias("keys"), F.collect_list("counts").alias("counts"))
     met = named.withColumn("at", F.xxhash64("text")).join(keep(told, "lm-told"), "at", "left")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held, target, texts, told = batch.columns
-            fields = [f.to_numpy() for f in told.flatten().flatten()]
-            key, at = np.unique(np.r_[shared.value[0], fields[0]], return_index=True)
-            known = key, *(np.r_[s, f][at] for s, f in zip(shared.value[1:], fields[1:], strict=True))
+            ids, held, target, texts, keys, counts = batch.columns
+            key, at = np.unique(keys.flatten().to_numpy(), return_index=True)
+            n, m = np.divmod(counts.flatten().to_numpy()[at], 2**32)
+            every = tuple(np.r_[s, f] for s, f in zip(shared.value, (key, n, m), strict=True))
+            order = np.argsort(every[0], kind="stable")
+            known = tuple(x[order] for x in every)
             tokens, mean = judged(texts.to_pylist(), np.array(target.to_pylist(), bool), known, totals)
             mean = mean if totals[1] else np.zeros(len(mean))
             yield pa.RecordBatch.from_arrays([ids, held, pa.array(tokens), pa.array(mean)], names=["doc_id", "held_out", "n_tokens", "score"])
 
-    return met.select("doc_id", held_out(F.col("doc_id")).alias("h"), "good", "text", "told").mapInArrow(
+    return met.select("doc_id", held_out(F.col("doc_id")).alias("h"), "good", "text", "keys", "counts").mapInArrow(
         judge, "doc_id long, held_out boolean, n_tokens long, score double"
     )

@@ -13,7 +13,6 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
-from hashlib import blake2b
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +22,6 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Stands for a null id inside joins; it sorts below every real id.
 NULL_ID = -(2**63)
-_CACHED = 200_000
 
 _SETTINGS = {
     # whole texts travel to Python in small batches, so that memory follows the batch and not the table
@@ -33,16 +31,6 @@ _SETTINGS = {
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-class WordIds(dict):
-    """64-bit ids of words; a bounded number of them is remembered."""
-
-    def __missing__(self, word: str) -> int:
-        made = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        if len(self) < _CACHED:
-            self[word] = made
-        return made
-
-
 _shipped: set[str] = set()
 
 

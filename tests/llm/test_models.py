@@ -53,23 +53,38 @@ def test_toxicity_of_awkward_rows(docs, no_docs, spark, texts):
     assert toxicity.drop_toxic(docs, labels.limit(0)).columns == docs.columns
 
 
-def test_toxicity_search_is_exact():
+def test_toxicity_search_is_exact_and_skips_blocks():
+    """Cosines of the nearest examples equal brute force, ties included, though not all blocks are scored."""
     rng = np.random.default_rng(0)
-    examples = rng.random((400, 30)) * (rng.random((400, 30)) < 0.2)
-    examples /= np.maximum(np.sqrt((examples**2).sum(axis=1, keepdims=True)), 1e-9)
-    order = np.argsort(examples.argmax(axis=1), kind="stable")
-    weights = examples[order].T
-    blocks = np.array([weights[:, i : i + 64].max(axis=1) for i in range(0, 400, 64)]).T
-    model = toxicity.Model({}, np.ones(30), weights, blocks, np.zeros(400, int), np.ones(400), np.arange(400), 0.1, 15)
-    for _ in range(20):
-        at = np.sort(rng.choice(30, 3, replace=False))
-        query = rng.random(3)
-        query /= np.sqrt((query**2).sum())
-        near, cosines, _ = model.nearest(at, query)
-        exact = np.round(query @ weights[at], 9)
-        kth = np.sort(exact)[-15]
-        want = {i for i in np.flatnonzero((exact >= kth) & (exact > 0))}
-        assert set(near) == want and np.allclose(cosines, exact[near])
+    kinds = [[f"{k}{chr(97 + i)}" for i in range(20)] for k in ("am", "bm", "cm", "dm", "em", "fm")]
+    common = [f"zz{chr(97 + i)}" for i in range(5)]
+    made = lambda: " ".join(rng.choice(kinds[rng.integers(6)], 8).tolist() + rng.choice(common, 3).tolist())
+    texts = [made() for _ in range(700)]
+    texts += texts[:40]
+    row, terms, counts = toxicity.batch_terms(texts)
+    every, place = np.unique(terms, return_inverse=True)
+    frequency = np.bincount(place).astype(float)
+    label = np.arange(len(texts)) % 2
+    index = toxicity.build(every, place, counts.astype(float), np.bincount(row), label, np.arange(len(texts)), frequency, 740, {0: 370, 1: 370}, 15)
+    few = toxicity.build(every, place, counts.astype(float), np.bincount(row), label, np.arange(len(texts)), frequency, 740, {0: 370, 1: 370}, 740)
+    asks = [made() for _ in range(60)] + [None, "", "unknown"] + texts[:5]
+    found, scored = index.cosines(len(asks), *toxicity.batch_terms(asks))
+    whole, all_ = few.cosines(len(asks), *toxicity.batch_terms(asks))
+    assert scored < 0.85 * len(asks) * index.highest.shape[1] and all_ > scored
+    for a, b in zip(found, whole):
+        kth = np.sort(b)[-15]
+        near = np.flatnonzero((b >= kth) & (b > 0))
+        assert set(near) == set(np.flatnonzero((a >= np.sort(a)[-15]) & (a > 0))) and np.allclose(a[near], b[near])
+        assert (a <= b + 1e-9).all()
+    # the cosines themselves: dictionaries of words, and no arrays
+    vector = {}
+    for r, t, n in zip(row, terms, counts):
+        vector.setdefault(r, {})[t] = (1 + math.log(n)) * index.weight[np.searchsorted(every, t)]
+    unit = {r: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()} for r, v in vector.items()}
+    for r in range(3):
+        got = dict(zip(few.ids.tolist(), few.cosines(1, *toxicity.batch_terms([texts[r]]))[0][0]))
+        for e in range(0, 740, 37):
+            assert got[e] == pytest.approx(sum(x * unit[e].get(t, 0) for t, x in unit[r].items()), abs=1e-8)
 
 
 def toxic_corpus(spark, kinds=1):

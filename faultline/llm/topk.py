@@ -8,9 +8,16 @@ query value times largest and times least value bounds every score in the block.
 
 Per query, blocks are visited by falling bound and scored through their forward
 index until a bound falls below the k-th score; equal bounds are still visited,
-since ties go to the smaller id.  Queries and blocks meet in groups of bounded
-size, and the groups' results are merged per query: every query is compared with
-all rows, in blocks.
+since ties go to the smaller id.  The k-th score starts from the query's own block,
+where its nearest rows are, and rises from block to block and batch to batch of a
+task.  The index is read where it lies and never shuffled: queries travel to it, in
+chunks of ``chunk_queries`` that are broadcast, one pass over the index for each
+chunk.  Each task gives at most k rows a query, which are merged per query.
+
+How much the bounds spare depends on the vectors.  Vectors with few strong
+components are skipped by blocks; vectors that point evenly in all directions, like
+the random ones of the test data, have no two that are near in every component, and
+there all blocks are scored.
 
 Cases: vectors that are null, or hold a null or non-finite component, and rows
 with a null id take no part.  Vectors meet only vectors of their own length.  Rows
@@ -44,7 +51,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, finite)
 
 
-_BLOCK = "block long, dim int, n int, ids binary, vectors binary"
+_BLOCK = "dim int, n int, ids binary, vectors binary, asks binary"
 
 
 def _blocks(rows: int):
@@ -52,39 +59,34 @@ def _blocks(rows: int):
         """Neighbouring rows of one length as one row."""
         ids: list[int] = []
         vectors: list[np.ndarray] = []
+        asks: list[bool] = []
 
         def out() -> pa.RecordBatch:
-            matrix = np.array(vectors, np.int64)
-            batch = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[0]], pa.int64()),
-                    pa.array([matrix.shape[1]], pa.int32()),
-                    pa.array([len(ids)], pa.int32()),
-                    pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                    pa.array([matrix.astype("<i8").tobytes()], pa.binary()),
-                ],
-                names=["block", "dim", "n", "ids", "vectors"],
-            )
-            ids.clear()
-            vectors.clear()
-            return batch
+            matrix = np.array(vectors, "<i8")
+            packed = (np.array(ids, "<i8").tobytes(), matrix.tobytes(), np.array(asks, bool).tobytes())
+            sizes = [pa.array([n], pa.int32()) for n in (matrix.shape[1], len(ids))]
+            for held in (ids, vectors, asks):
+                held.clear()
+            return pa.RecordBatch.from_arrays([*sizes, *(pa.array([x], pa.binary()) for x in packed)], names=["dim", "n", "ids", "vectors", "asks"])
 
         for batch in batches:
             offsets, values = batch.columns[1].offsets.to_numpy(), batch.columns[1].values.to_numpy()
-            for i, row_id in enumerate(batch.columns[0].to_pylist()):
+            for i, (row_id, ask) in enumerate(zip(batch.columns[0].to_pylist(), batch.columns[2].to_pylist(), strict=True)):
                 vector = values[offsets[i] : offsets[i + 1]]
                 if ids and (len(ids) >= rows or len(vector) != len(vectors[0])):
                     yield out()
                 ids.append(row_id)
                 vectors.append(vector)
+                asks.append(bool(ask))
         if ids:
             yield out()
 
     return run
 
 
-def _matrix(block: dict) -> np.ndarray:
-    return np.frombuffer(block["vectors"], "<i8").reshape(block["n"], block["dim"])
+def unpacked(block: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block."""
+    return np.frombuffer(block["ids"], "<i8"), np.frombuffer(block["vectors"], "<i8").reshape(block["n"], block["dim"])
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -97,39 +99,77 @@ def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """For each query, the sum over terms of the most that a vector of the block can add."""
+    """For each query and block, the sum over terms of the most that a vector of the block can add."""
     signed = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
-    return products(signed, np.concatenate([high, low])[None]).ravel()
-
-
-def search_blocks(query_ids: np.ndarray, queries: np.ndarray, blocks: list[dict], k: int) -> tuple[list, int]:
-    """(query id, id, score) of each query's k best, and how many query-block pairs were scored."""
-    matrices = [_matrix(b) for b in blocks]
-    ids = [np.frombuffer(b["ids"], "<i8") for b in blocks]
-    bound = np.array([bounds(queries, m.max(axis=0, initial=-(2**62)), m.min(axis=0, initial=2**62)) for m in matrices]) if queries.shape[1] else np.zeros((len(blocks), len(queries)))
-    order = np.argsort(-bound, axis=0, kind="stable")
-    best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
-    kth = np.full(len(query_ids), -np.inf)
-    scored = 0
-    for visit in range(len(blocks)):
-        block_of = order[visit]
-        open_ = bound[block_of, np.arange(len(query_ids))] >= kth
-        if not open_.any():
-            break
-        for b in np.unique(block_of[open_]):
-            which = np.flatnonzero(open_ & (block_of == b))
-            scores = products(queries[which], matrices[b])
-            scored += len(which)
-            for row, q in enumerate(which):
-                near = np.flatnonzero((scores[row] >= kth[q]) & (ids[b] != query_ids[q]))
-                if len(near) > 4 * k:
-                    least = np.partition(scores[row][near], -k)[-k]
-                    near = near[scores[row][near] >= least]
-                if len(near):
-                    best[q] = sorted(best[q] + [(-int(scores[row][i]), int(ids[b][i])) for i in near])[:k]
-                    if len(best[q]) == k:
-                        kth[q] = -best[q][-1][0]
-    return [(int(query_ids[q]), i, -s) for q in range(len(query_ids)) for s, i in best[q]], scored
+    return products(signed, np.hstack([high, low]))
+
+
+class Search:
+    """The k best rows so far of each of some queries of one length, and what they have to reach."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.least = least.copy()
+        self.best = np.full((len(ids), k), -_MOST - 1)
+        self.held = tuple(np.zeros(0, np.int64) for _ in range(3))  # query's place, score, row's id
+        self.scored = self.pairs = 0
+
+    def visit(self, blocks: list[dict]) -> None:
+        held = [unpacked(b) for b in blocks]
+        bound = bounds(self.queries, *(np.array([f(m, axis=0) for _, m in held]) for f in (np.max, np.min))) if self.queries.shape[1] else np.zeros((len(self.ids), len(held)), np.int64)
+        order = np.argsort(bound, axis=1, kind="stable")[:, ::-1]
+        self.pairs += bound.size
+        for step in range(len(held)):
+            block_of = order[:, step]
+            open_ = bound[np.arange(len(self.ids)), block_of] >= self.least
+            if not open_.any():
+                break
+            for b in np.unique(block_of[open_]):
+                self._score(np.flatnonzero(open_ & (block_of == b)), *held[b])
+
+    def _score(self, which: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.scored += len(which)
+        scores = products(self.queries[which], vectors)
+        valid = ids[None] != self.ids[which][:, None]
+        top = np.where(valid, scores, -_MOST - 1)
+        if len(ids) > self.k:
+            top = np.partition(top, -self.k, axis=1)[:, -self.k :]
+        self.best[which] = np.sort(np.hstack([self.best[which], top]), axis=1)[:, -self.k :]
+        self.least[which] = np.maximum(self.least[which], self.best[which, 0])
+        near = np.nonzero(valid & (scores >= self.least[which][:, None]))
+        place, score, row = (np.concatenate(x) for x in zip(self.held, (which[near[0]], scores[near], ids[near[1]]), strict=True))
+        if len(place) > 4 * self.k * len(self.ids):
+            place, score, row = self._best_of(place, score, row)
+        self.held = place, score, row
+
+    def _best_of(self, place: np.ndarray, score: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((row, -score, place))
+        place, score, row = place[order], score[order], row[order]
+        first = np.searchsorted(place, place)
+        kept = np.arange(len(place)) - first < self.k
+        return place[kept], score[kept], row[kept]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, row's id, score) of the k best of each query."""
+        place, score, row = self._best_of(*self.held)
+        return self.ids[place], row, score
+
+
+def _seeds(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, v, least): each query and the k-th score that its own block shows."""
+        for batch in batches:
+            for block in batch.to_pylist():
+                asks = np.frombuffer(block["asks"], bool)
+                if asks.any():
+                    ids, vectors = unpacked(block)
+                    own = Search(ids[asks], vectors[asks], np.full(int(asks.sum()), -_MOST - 1), k)
+                    own.visit([block])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own.ids), pa.array(own.queries.tolist(), pa.list_(pa.int64())), pa.array(own.least)], names=["id", "v", "least"]
+                    )
+
+    return run
 
 
 def top_k(
@@ -138,49 +178,61 @@ def top_k(
     k: int = 5,
     vector: str = "embedding",
     row_id: str = "vec_id",
-    block_rows: int = 1024,
-    group_blocks: int = 4,
+    block_rows: int = 256,
+    chunk_queries: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, <row_id>, score): the k best of every query row."""
     good = vectors.where(F.col(row_id).isNotNull() & usable(F.col(vector))).select(
-        F.col(row_id).cast("long").alias("id"), quantised(F.col(vector)).alias("v"), is_query.alias("q")
+        F.col(row_id).cast("long").alias("id"), quantised(F.col(vector)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
     strength = F.transform("v", lambda x: F.abs(x))
     place = F.array_position(strength, F.array_max(strength)).cast("int")
     ordered = good.select(
-        "id", "v", F.size("v").alias("dim"), F.coalesce(place * F.when(F.get("v", place - 1) < 0, -1).otherwise(1), F.lit(0)).alias("strongest")
+        "id", "v", "q", F.size("v").alias("dim"), F.coalesce(place * F.when(F.get("v", place - 1) < 0, -1).otherwise(1), F.lit(0)).alias("strongest")
     )
     index = keep(
         ordered.repartitionByRange("dim", "strongest", "id")
         .sortWithinPartitions("dim", "strongest", "id")
-        .select("id", "v")
+        .select("id", "v", "q")
         .mapInArrow(_blocks(block_rows), _BLOCK),
         "vector-blocks",
     )
-    asked = good.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    queries = keep(asked.sortWithinPartitions(F.size("v"), "id").select("id", "v").mapInArrow(_blocks(block_rows // 4), _BLOCK), "query-blocks")
-    # blocks and queries are dealt to groups by hashes of their first ids; each pair of groups meets once
-    groups = [max(1, -(-df.count() // group_blocks)) for df in (index, queries)]
-    of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "block", "dim"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.select("*", of(groups[0], 1).alias("bg")).select("*", every(groups[1]).alias("qg"))
-    right = queries.select("*", of(groups[1], 2).alias("qg")).select("*", every(groups[0]).alias("bg"))
-
-    def meet(key: tuple[pa.Scalar, ...], blocks: pa.Table, asked: pa.Table) -> pa.Table:
-        held = blocks.to_pylist()
-        rows = []
-        for q in asked.to_pylist():
-            same = [b for b in held if b["dim"] == q["dim"]]
-            if same:
-                rows += search_blocks(np.frombuffer(q["ids"], "<i8"), _matrix(q), same, k)[0]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "id", "score"), columns, strict=True)})
-
-    found = (
-        left.groupBy("bg", "qg").cogroup(right.groupBy("bg", "qg")).applyInArrow(meet, "query_id long, id long, score long")
-    )
+    seeds = index.mapInArrow(_seeds(k), "id long, v array<long>, least long")
+    asked = seeds.groupBy("id").agg(F.min(F.struct("v", F.bitwise_not("least").alias("r"))).alias("s"))
+    queries = keep(asked.select("id", "s.v", F.bitwise_not("s.r").alias("least")), "vector-queries")
+    chunks = max(1, -(-queries.count() // chunk_queries))
+    found = None
+    for c in range(chunks):
+        part = keep(_searched(index, queries.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c), k), "vector-found")
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (
         found.select("query_id", F.row_number().over(best).alias("rank"), F.col("id").alias(row_id), "score").where(F.col("rank") <= k)
     )
 
+
+def _searched(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): what each task finds for one chunk of queries."""
+    drawn = queries.toArrow().combine_chunks()
+    by_length: dict[int, list[int]] = {}
+    lists = drawn["v"].to_pylist()
+    for i, v in enumerate(lists):
+        by_length.setdefault(len(v), []).append(i)
+    ids, least = drawn["id"].to_numpy(), drawn["least"].to_numpy()
+    made = {n: (ids[at], np.array([lists[i] for i in at], np.int64).reshape(len(at), n), least[at]) for n, at in by_length.items()}
+    shared = index.sparkSession.sparkContext.broadcast(made)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, Search] = {}
+        for batch in batches:
+            blocks: dict[int, list[dict]] = {}
+            for block in batch.to_pylist():
+                blocks.setdefault(block["dim"], []).append(block)
+            for n in blocks.keys() & shared.value.keys():
+                if n not in open_:
+                    open_[n] = Search(*shared.value[n], k)
+                open_[n].visit(blocks[n])
+        for done in open_.values():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in done.found()], names=["query_id", "id", "score"])
+
+    return index.mapInArrow(search, "query_id long, id long, score long")

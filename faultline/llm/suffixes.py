@@ -19,8 +19,10 @@ which neighbours are equal, so the corpus order is kept as equality classes:
   the next level: cut into runs of 8 starts about the trigger, then into starts.
 
 So highly repetitive text collapses into classes early, and only the phrases on
-the borders of repeats are looked at start by start.  Fingerprints of full
-contexts have 128 bits; cores, which only select candidates, have 64.
+the borders of repeats are looked at start by start.  A full context is known by
+128 bits of BLAKE2b over its bytes and its place about the trigger, so that equal
+digests are equal bytes for all that is known of that hash; cores, which only
+select candidates, by 64 bits of a rolling sum.
 
 Cases: a null text is empty.  Texts below ``LENGTH`` bytes lose nothing.  Equal
 rows repeat each other.  Rows that share an id are told apart by their text.
@@ -31,6 +33,7 @@ empty table.  Input columns pass through unless they clash with an output.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,43 +45,50 @@ from faultline.llm._common import NULL_ID, keep, row_key
 LENGTH, LOOK, RUN = 200, 128, 8
 _GRAM = 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
-_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 2**64)
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 _powers: dict[int, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of base, modulo 2**64."""
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    """The first n powers of base, modulo 2**64, at least."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.ones(max(1 << 16, 1 << n.bit_length()), np.uint64)
-        have[1:] = np.uint64(base & (2**64 - 1))
+        have = np.full(max(1 << 16, 1 << n.bit_length()), np.uint64(base))
+        have[0] = 1
         _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+    return have
 
 
 class Rolling:
-    """Fingerprints of any stretch of a text, from sums over hashes of its 8-byte grams."""
+    """Sums of any stretch of a text over hashes of its 8-byte grams."""
 
     def __init__(self, text: bytes):
+        self.text = text
         grams = np.ndarray((len(text) - _GRAM + 1,), "<u8", text, strides=(1,))
         self.grams = grams * _MIX[0]
         self.grams ^= self.grams >> np.uint64(32)
         self.grams *= _MIX[1]
         self.grams ^= self.grams >> np.uint64(29)
-        self.sums: dict[int, np.ndarray] = {}
+        self._sums: np.ndarray | None = None
 
-    def of(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        """Fingerprints of text[start:end], at least 8 bytes each."""
-        base = _BASES[which]
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Sums of text[start:end], at least 8 bytes each."""
         n = len(self.grams)
-        if which not in self.sums:
-            self.sums[which] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.grams * powers(base, n))))
-        total = self.sums[which][end - _GRAM + 1] - self.sums[which][start]
-        value = total * powers(pow(base, -1, 2**64), n)[start]
+        if self._sums is None:
+            self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.grams * powers(n)[:n])))
+        value = (self._sums[end - _GRAM + 1] - self._sums[start]) * powers(n, _INVERSE)[start]
         value ^= value >> np.uint64(31)
         return value * _MIX[1]
 
+    def digests(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of BLAKE2b of text[start:end]."""
+        view = memoryview(self.text)
+        made = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        both = np.frombuffer(made, "<u8").reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
 
 def triggers(rolling: Rolling, n: int) -> np.ndarray:
     """The trigger of each start 0..n-LENGTH: the leftmost least hash of LOOK places."""
@@ -113,9 +123,10 @@ Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def whole_phrases(rolling: Rolling, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> Units:
     """(core, full 1, full 2, first, last) of phrases; a core is LENGTH - LOOK + 1 bytes from the trigger."""
-    core = rolling.of(at, at + LENGTH - LOOK + 1, 0)
+    core = rolling.of(at, at + LENGTH - LOOK + 1)
+    one, two = rolling.digests(first, last + LENGTH)
     shift = mixed(at - first)
-    return core, rolling.of(first, last + LENGTH, 0) + shift, rolling.of(first, last + LENGTH, 1) + shift, first, last
+    return core, one + shift, two + shift, first, last
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -130,14 +141,15 @@ def runs(rolling: Rolling, at: np.ndarray, first: np.ndarray, last: np.ndarray)
     begin = np.maximum(first[owner], at[owner] - RUN * j - RUN + 1)
     end = np.minimum(last[owner], at[owner] - RUN * j)
     core_from = at[owner] - RUN * j
-    core = rolling.of(core_from, core_from - RUN + 1 + LENGTH, 0) + mixed(j)
+    core = rolling.of(core_from, core_from - RUN + 1 + LENGTH) + mixed(j)
+    one, two = rolling.digests(begin, end + LENGTH)
     shift = mixed(at[owner] - begin)
-    return core, rolling.of(begin, end + LENGTH, 0) + shift, rolling.of(begin, end + LENGTH, 1) + shift, begin, end
+    return core, one + shift, two + shift, begin, end
 
 
 def single_starts(rolling: Rolling, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> Units:
     begin, _ = spread(first, last)
-    one, two = rolling.of(begin, begin + LENGTH, 0), rolling.of(begin, begin + LENGTH, 1)
+    one, two = rolling.digests(begin, begin + LENGTH)
     return one, one, two, begin, begin
 
 
@@ -148,7 +160,7 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.columns[0].to_pylist():
             if parsed := phrases(text or b""):
                 rolling, at, _, _ = parsed
-                found.append(rolling.of(at, at + LENGTH - LOOK + 1, 0))
+                found.append(rolling.of(at, at + LENGTH - LOOK + 1))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["core"])
 
@@ -162,7 +174,7 @@ def _placed_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if parsed := phrases(text or b""):
                 rolling, at, first, last = parsed
                 rows.append(np.full(len(at), row))
-                found.append((rolling.of(at, at + LENGTH - LOOK + 1, 0).view(np.int64), first, last, at))
+                found.append((rolling.of(at, at + LENGTH - LOOK + 1).view(np.int64), first, last, at))
         if found:
             row = pa.array(np.concatenate(rows))
             core, first, last, at = (np.concatenate(x) for x in zip(*found, strict=True))

@@ -128,11 +128,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _direct(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (hub, node) of stars with 100 * intersection >= percent * union on full sets."""
+    """The (hub, node) of stars with 100 * intersection >= percent * union on full sets.
+
+    No distinct here: it would bind the join to one partition for each hub, and a hub
+    may have any number of members.  A pair that comes twice does no harm.
+    """
     held = keep(stars.join(sets, "node").select("hub", "node", F.col("set").alias("a")), "near-held")
     both = held.join(sets.select(F.col("node").alias("hub"), F.col("set").alias("b")), "hub")
     shared = both.select("hub", "node", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("s"))
-    return keep(shared.where(f"100L * i >= {percent}L * (s - i)").select("hub", "node").distinct(), "near-direct")
+    return keep(shared.where(f"100L * i >= {percent}L * (s - i)").select("hub", "node"), "near-direct")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

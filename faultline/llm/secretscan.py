@@ -11,6 +11,10 @@ owners or ``copied_repos`` repositories hold is a copied example; any other is
 owner-specific and looks live.  Each base span gets a second span over its
 value that says which: ``example`` or ``live``.
 
+Repository and owner are columns that the caller names.  The table ``documents``
+has neither; its ``source`` stands for both in ``secret_digest``, so there the two
+counts are one, and a value that only one source holds, however often, is its own.
+
 Hashes are counted with partial sums and joined by plain exchanges, which
 adaptive execution can split; texts are never shuffled.
 

@@ -44,6 +44,26 @@ def test_line_dedup(docs, texts):
     assert rows_of(lines.kept_digest(docs), "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
 
 
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    """400 KB in 40,000 lines, every other one repeated: time follows the length."""
+    import time
+
+    def texts(n):
+        line = lambda d, i: f"a line that repeats {i}" if i % 2 else f"own {d} {i}"
+        return [(d, "\n".join(line(d, i) for i in range(n))) for d in range(3)]
+
+    took = []
+    for n in (2000, 5000, 40_000):
+        began = time.time()
+        rows = texts(n)
+        got = {r.doc_id: r for r in lines.kept_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        took.append(time.time() - began)
+        for d, t in rows:
+            left = t.split("\n")[:: 1 if d == 2 else 2]
+            assert got[d].n_lines == n and got[d].n_dropped == n - len(left) and got[d].kept_sha256 == sha("\n".join(left))
+    assert took[2] < 8 * took[1] + 5
+
+
 def test_line_dedup_keeps_columns(docs, no_docs):
     out = lines.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
@@ -67,10 +87,25 @@ def test_sharding(spark, docs, texts, no_docs):
 def test_sharding_is_a_fixed_shuffle(docs):
     runs = [sorted((r.doc_id or -1, r.text_crc32, r.shard, r.slot) for r in sharding.shard_digest(docs.repartition(n)).collect()) for n in (1, 5)]
     assert runs[0] == runs[1]
+    plain = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    docs.sparkSession.conf.set("spark.sql.shuffle.partitions", "3")
+    runs.append(sorted((r.doc_id or -1, r.text_crc32, r.shard, r.slot) for r in sharding.shard_digest(docs).collect()))
+    docs.sparkSession.conf.set("spark.sql.shuffle.partitions", plain)
+    assert runs[0] == runs[2]
     order = sharding.fisher_yates(50, 3)
     assert sorted(order) == list(range(50)) and list(order) != list(range(50))
 
 
+def test_sharding_of_awkward_columns(spark, tmp_path):
+    """Clashing names, and one id (or none) for every row: rows still scatter and keep their columns."""
+    frame = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('t', id) as text", "id as _bucket", "id as _hash", "map('a', id) as m", "1 as shard", "2 as slot")
+    out = sharding.write_shards(frame, str(tmp_path / "s"), bucket_bytes=200)
+    assert out.columns == ["doc_id", "text", "_bucket", "_hash", "m", "size", "text_crc32", "slot", "shard"]
+    rows = out.select("text", "_bucket", "_hash", "shard", "slot").collect()
+    assert sorted(r.text for r in rows) == sorted(f"t{i}" for i in range(3000)) and all(r.text == f"t{r._bucket}" and r._hash == r._bucket for r in rows)
+    assert len({(r.shard, r.slot) for r in rows}) == 3000
+
+
 def brute_suffix(texts, length):
     raw = [(t or "").encode() for _, t in texts]
     starts = Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
@@ -221,21 +256,41 @@ def test_top_k(spark):
         want |= {(q, n + 1, i, clamp(-s)) for n, (s, i) in enumerate(near[:5])}
     got = topk.top_k(frame, F.col("vec_id") % 50 == 0, block_rows=16).collect()
     mine = [tuple(r) for r in got if r.query_id < 550 and r.query_id != 550]
+    few = topk.top_k(frame, F.col("vec_id") % 50 == 0, block_rows=16, chunk_queries=3)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, got))
     strip = lambda rows: sorted(r for r in rows if abs(r[3]) < 2**62)
     assert strip(mine) == strip(want) and len(mine) == len(want)
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def packed(vectors, first=0):
+    import numpy as np
+
+    ids = np.arange(first, first + len(vectors), dtype="<i8")
+    return {"dim": vectors.shape[1], "n": len(vectors), "ids": ids.tobytes(), "vectors": vectors.astype("<i8").tobytes()}
+
+
 def test_top_k_skips_blocks():
+    """Noisy vectors about axes: most blocks are never scored, and the k-th score passes from batch to batch."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    vectors = np.zeros((640, 8), np.int64)
-    for i in range(640):
-        vectors[i, i // 80] = rng.integers(100, 200)
-    blocks = [{"ids": np.arange(b, b + 16, dtype="<i8").tobytes(), "vectors": vectors[b : b + 16].tobytes(), "n": 16, "dim": 8} for b in range(0, 640, 16)]
-    found, scored = topk.search_blocks(np.array([1000, 1001]), vectors[[5, 300]], blocks, 5)
-    assert len(found) == 10 and scored < 2 * len(blocks) / 2
+    vectors = rng.integers(-12, 13, (1280, 16))
+    vectors[np.arange(1280), np.arange(1280) // 80] += rng.integers(180, 260, 1280)
+    queries = vectors[[5, 300, 901]]
+    search = topk.Search(np.array([5, 300, 901]), queries, np.full(3, -(2**63)), 5)
+    blocks = [packed(vectors[b : b + 16], b) for b in range(0, 1280, 16)]
+    for i in range(0, 80, 20):
+        search.visit(blocks[i : i + 20])
+    want = []
+    for q, v in zip((5, 300, 901), queries):
+        order = sorted((-int(v @ w), i) for i, w in enumerate(vectors) if i != q)[:5]
+        want += [(q, i, -s) for s, i in order]
+    assert sorted(map(tuple, zip(*(x.tolist() for x in search.found())))) == sorted(want)
+    assert search.pairs == 240 and search.scored < 120
+    seeded = topk.Search(np.array([5, 300, 901]), queries, search.least, 5)
+    seeded.visit(blocks)
+    assert seeded.scored < 30
 
 
 @pytest.mark.parametrize("percent", [85, 80])

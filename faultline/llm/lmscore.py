@@ -1,25 +1,25 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models share one vocabulary: the target model learns from the
+Two bigram models share one vocabulary of V words: the target model learns from the
 labelled good documents, the background model from all documents.  A document's
 score is its cross-entropy per token under the target model less that under the
 background model, in bits; lower means closer to the target.
 
-Both models are smoothed alike, with Dirichlet priors from their own words:
+Both models are smoothed alike, by MU tokens spread evenly over the vocabulary:
 
-    p(b | a) = (c(ab) + MU * p(b)) / (c(a) + MU),   p(b) = (c(b) + 1) / (N + V)
+    p(b | a) = (c(ab) + MU / V) / (c(a) + MU)
 
 A document's own tokens are left out of all counts that it is scored with, so that
 a text is judged by what other documents say, and one that occurs twice stands out.
+So a score is a sum over the document's different bigrams and words of terms that
+each depend on one count, and what only the document itself holds adds nothing.
 
 Counts cover the whole corpus, and every word and every bigram keeps its own.
 Words and bigrams are entries of one table: a key, its count in all documents and
-its count in the target's.  A bigram that occurs once is not stored: the document
-that holds it knows its counts.  The ``max_broadcast`` most frequent entries are
-broadcast.  A document asks the table for its other keys, by a join on the key;
-what it is told comes back by a join on the hash of its text, and it is scored in
-one place.  A bit map of ``FILTER_BITS`` bits tells most keys that are not in the
-table, so that they need not be asked for; it is left out where the table is too
+its count in the target's.  The ``max_broadcast`` most frequent entries are
+broadcast and added where texts are read; for its other keys a document asks the
+table by a join.  A bit map of ``FILTER_BITS`` bits tells most keys that are not in
+the table, so that they need not be asked for; it is left out where the table is too
 large for it.  Both bounds decide what travels and have no part in a score; what
 is joined is rare by definition, so no key is hot.
 
@@ -29,8 +29,8 @@ Keys are 64-bit hashes; two bigrams that shared one would share their counts
 Cases: null and empty texts have no tokens and score 0 over 0 tokens.  Labels
 that are null, of unknown ids or on held-out rows teach nothing; without any
 target document every score is 0.  Repeated rows count as often as they occur,
-and are scored alike; a text asks once a batch, however many rows hold it.
-An empty table gives an empty table.  Other columns are not read.
+and are scored alike.  An empty table gives an empty table.  Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -46,10 +46,10 @@ from faultline.llm import words
 from faultline.llm._common import keep
 from faultline.llm.toxicity import held_out
 
-MU = 8.0
+MU = 100.0
 #: The hash of the end of a document, which no word has by intent.
 END = np.uint64(1)
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
 #: Bits of the map of keys, by the upper bits of a key, and the part of it that one task makes.
 FILTER_BITS, _SLICE_BITS = 28, 22
 
@@ -118,7 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def entries(marked: DataFrame) -> DataFrame:
-    """(key, n, m) of every word, and of every bigram that occurs more than once."""
+    """(key, n, m) of every word, and of every bigram that occurs more than once: others add nothing to a score."""
     counted = marked.select("good", "text").mapInArrow(_count, "key long, n long, m long")
     return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > 1 or key % 2 = 0")
 
@@ -177,57 +177,43 @@ def possible(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 > 0
 
 
-def asked(hashes: np.ndarray, texts: list[str | None], known: np.ndarray, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the text, key) of the keys of each different text that are not known, each once, by text."""
-    row, a, b = bigrams(texts)
-    keys, row = np.concatenate([word_keys(b), pair_keys(a, b)]), np.concatenate([row, row])
-    each, place = np.unique(keys, return_inverse=True)
-    wanted = possible(bits, each) & ~among(known, each)[1]
-    inside = wanted[place]
-    row, place = np.divmod(np.unique(row[inside] * len(each) + place[inside]), max(len(each), 1))
-    return hashes[row], each[place]
-
-
 Known = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def others(row: np.ndarray, keys: np.ndarray, good: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each key in all documents but its own, and in the target's documents but its own."""
-    each, place = np.unique(keys, return_inverse=True)
-    both = place * len(good) + row
-    order = np.argsort(both)
-    new = np.ones(len(both), bool)
-    new[1:] = both[order[1:]] != both[order[:-1]]
-    own = np.empty(len(both), np.int64)
-    own[order] = np.diff(np.append(np.flatnonzero(new), len(both)))[np.cumsum(new) - 1]
-    at, there = among(known[0], each)
-    n, m = (np.where(there, c[at], 0)[place] if len(c) else np.zeros(len(keys), np.int64) for c in known[1:])
-    return np.maximum(n - own, 0), np.maximum(m - own * good[row], 0)
+def term(key: Column, n: Column, m: Column, own: Column, good: Column, delta: float) -> Column:
+    """What the occurrences of one key in a document add to its sum."""
+    word = key % 2 == 0
+    prior = F.when(word, F.lit(MU)).otherwise(F.lit(delta))
+    rest = F.log2(F.greatest(n - own, F.lit(0)) + prior) - F.log2(F.greatest(m - own * good, F.lit(0)) + prior)
+    return F.when(word, -rest).otherwise(rest) * own
 
 
-def judged(texts: list[str | None], good: np.ndarray, known: Known, totals: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, mean over its bigrams of log2 p under the background model less that under the target's) of each text.
-
-    known: sorted keys with n and m.  A bigram that is not among them occurs once, where it stands.
-    """
+def weighed(
+    texts: list[str | None], good: np.ndarray, known: Known, bits: np.ndarray | None, delta: float
+) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bigrams, sum of the terms of known keys) of each text, and (place, key, own count) of what it has to ask for."""
     row, a, b = bigrams(texts)
-    steps = np.bincount(row, minlength=len(texts))
-    pair, second = others(row, pair_keys(a, b), good, known), others(row, word_keys(b), good, known)
-    # a bigram's first word is the second of the one before; the end stands before the first
-    before = np.arange(len(row)) - 1
-    ends = np.cumsum(steps) - 1
-    before[(ends - steps + 1)[steps > 0]] = ends[steps > 0]
-    out = np.zeros(len(row))
-    for sign, which, here in ((1, 0, steps), (-1, 1, steps * good)):
-        one = (second[which] + 1) / ((totals[which] - here)[row] + totals[2])
-        out += sign * np.log2((pair[which] + MU * one) / (second[which][before] + MU))
-    return np.maximum(steps - 1, 0), np.bincount(row, weights=out, minlength=len(texts)) / np.maximum(steps, 1)
+    # first words are the second words of the bigrams before, and the end is both
+    keys, both = np.concatenate([word_keys(b), pair_keys(a, b)]), np.concatenate([row, row])
+    each, place = np.unique(keys, return_inverse=True)
+    code, own = np.unique(both * len(each) + place, return_counts=True)
+    text, which = np.divmod(code, max(len(each), 1))
+    at, there = among(known[0], each)
+    wanted = ~there & possible(bits, each)
+    mine = there[which]
+    ask = wanted[which]
+    at, times, of = at[which[mine]], own[mine], text[mine]
+    word = each[which[mine]] % 2 == 0
+    prior = np.where(word, MU, delta)
+    rest = np.log2(np.maximum(known[1][at] - times, 0) + prior) - np.log2(np.maximum(known[2][at] - times * good[of], 0) + prior)
+    total = np.bincount(of, weights=np.where(word, -rest, rest) * times, minlength=len(texts))
+    return np.bincount(row, minlength=len(texts)), total, (text[ask], each[which[ask]], own[ask])
 
 
 def score(
     docs: DataFrame,
     labels: DataFrame,
-    max_broadcast: int = 500_000,
+    max_broadcast: int = 1_000_000,
     target: str = "quality = 1",
     text: str = "text",
     doc_id: str = "doc_id",
@@ -240,9 +226,9 @@ def score(
     named = own.join(good, own["doc_id"] == good["_good"], "left").select("doc_id", F.col("_good").isNotNull().alias("good"), "text")
 
     table = keep(entries(named), "lm-counts")
-    word = F.col("key") % 2 == 0
-    n, m, size = table.where(word).agg(F.sum("n"), F.sum("m"), F.count(F.lit(1))).first()
-    totals = (n or 0, m or 0, size + 1)  # and a place for the unseen
+    taught, size = table.where("key % 2 = 0").agg(F.sum("m"), F.count(F.lit(1))).first()
+    delta = MU / (size + 1)
+    table = table.where("n > 1")
     frequent = most_frequent(table, max_broadcast)
     near = table.where(frequent).toArrow()
     order = np.argsort(near["key"].to_numpy())
@@ -250,31 +236,36 @@ def score(
     rare = table.where(~frequent)
     bits = context.broadcast(key_map(rare) if rare.count() <= 1 << FILTER_BITS else None)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            once = np.sort(np.unique(batch.columns[0].to_numpy(), return_index=True)[1])
-            different = batch.take(pa.array(once))
-            made = asked(different.columns[0].to_numpy(), different.columns[1].to_pylist(), shared.value[0], bits.value)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["at", "key"])
-
-    # equal texts of several batches ask the same; a rare key has few who ask
-    asks = own.select(F.xxhash64("text").alias("at"), "text").mapInArrow(ask, "at long, key long").repartition("key").distinct()
-    counts = (F.col("n") * 2**32 + F.col("m")).alias("counts")
-    told = asks.join(rare.select("key", counts), "key").groupBy("at").agg(F.collect_list("key").alias("keys"), F.collect_list("counts").alias("counts"))
-    met = named.withColumn("at", F.xxhash64("text")).join(keep(told, "lm-told"), "at", "left")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each document its head with the sum of what is known, and a row for each key that it asks for."""
         for batch in batches:
-            ids, held, target, texts, keys, counts = batch.columns
-            key, at = np.unique(keys.flatten().to_numpy(), return_index=True)
-            n, m = np.divmod(counts.flatten().to_numpy()[at], 2**32)
-            every = tuple(np.r_[s, f] for s, f in zip(shared.value, (key, n, m), strict=True))
-            order = np.argsort(every[0], kind="stable")
-            known = tuple(x[order] for x in every)
-            tokens, mean = judged(texts.to_pylist(), np.array(target.to_pylist(), bool), known, totals)
-            mean = mean if totals[1] else np.zeros(len(mean))
-            yield pa.RecordBatch.from_arrays([ids, held, pa.array(tokens), pa.array(mean)], names=["doc_id", "held_out", "n_tokens", "score"])
-
-    return met.select("doc_id", held_out(F.col("doc_id")).alias("h"), "good", "text", "keys", "counts").mapInArrow(
-        judge, "doc_id long, held_out boolean, n_tokens long, score double"
-    )
+            rows, ids, held, target, texts = batch.columns
+            right = np.array(target.to_pylist(), np.int64)
+            steps, total, (text, key, own) = weighed(texts.to_pylist(), right, shared.value, bits.value, delta)
+            number, blank, heads = rows.to_numpy(), len(key), len(ids)
+            columns = [
+                pa.array(np.r_[number, number[text]]),
+                pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(blank, pa.int64())]),
+                pa.concat_arrays([held.cast(pa.bool_()), pa.nulls(blank, pa.bool_())]),
+                pa.concat_arrays([pa.array(steps.astype(np.int64)), pa.nulls(blank, pa.int64())]),
+                pa.concat_arrays([pa.array(total.astype(float)), pa.nulls(blank, pa.float64())]),
+                pa.concat_arrays([pa.nulls(heads, pa.int64()), pa.array(key)]),
+                pa.concat_arrays([pa.nulls(heads, pa.int64()), pa.array(own.astype(np.int64))]),
+                pa.concat_arrays([pa.nulls(heads, pa.int64()), pa.array(right[text])]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "steps", "gained", "key", "own", "good"])
+
+    given = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("h"), "good", "text")
+    kinds = "row long, doc_id long, held_out boolean, steps long, gained double, key long, own long, good long"
+    parts = keep(given.mapInArrow(weigh, kinds), "lm-parts")
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("held_out", "boolean"), ("steps", "long"))]
+    asked = parts.where("key is not null").select("row", "key", "own", "good").join(rare, "key")
+    far = asked.select("row", *nothing, term(*[F.col(c) for c in ("key", "n", "m", "own", "good")], delta).alias("gained"))
+    every = parts.where("key is null").select("row", "doc_id", "held_out", "steps", "gained").unionByName(far)
+    mean = F.sum("gained") / F.greatest(F.max("steps"), F.lit(1))
+    return every.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("held_out").alias("held_out"),
+        F.greatest(F.max("steps") - 1, F.lit(0)).alias("n_tokens"),
+        (mean if taught else F.lit(0.0)).alias("score"),
+    ).drop("row")

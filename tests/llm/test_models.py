@@ -159,7 +159,7 @@ def brute_lm(texts, teach):
     streams = [["<end>", *w, "<end>"] if w else [] for w in tokens]
     pairs = [Counter(zip(s, s[1:])) for s in streams]
     seconds = [Counter(s[1:]) for s in streams]
-    size = len({w for s in streams for w in s}) + 1
+    delta = lmscore.MU / (len({w for s in streams for w in s}) + 1)
     every = [sum(c, Counter()) for c in (pairs, seconds)]
     good = [d in teach for d, _ in texts]
     right = [sum((c for c, g in zip(of, good) if g), Counter()) for of in (pairs, seconds)]
@@ -169,9 +169,7 @@ def brute_lm(texts, teach):
         for a, b in zip(streams[i], streams[i][1:]):
             for sign, model, mine in ((1, every, True), (-1, right, good[i])):
                 c = lambda which, key: model[which][key] - (mine and (pairs, seconds)[which][i][key])  # noqa: B023
-                n = sum(model[1].values()) - (mine and len(streams[i]) - 1)
-                one = (c(1, b) + 1) / (n + size)
-                total += sign * math.log2((c(0, (a, b)) + lmscore.MU * one) / (c(1, a) + lmscore.MU))
+                total += sign * math.log2((c(0, (a, b)) + delta) / (c(1, a) + lmscore.MU))
         out[(d, len(tokens[i]), round(total / (len(streams[i]) - 1), 6) + 0.0 if streams[i] and teach else 0.0)] += 1
     return out
 
@@ -215,13 +213,14 @@ def test_lm_scores_beyond_any_fixed_number_of_words(spark):
     taught = [i for i in range(200) if __import__("zlib").crc32(str(i).encode()) % 3 != 1][-1]
     labels = spark.createDataFrame([(taught, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.score for r in lmscore.score(spark.createDataFrame(texts, "doc_id long, text string"), labels).collect()}
-    mu, size, n = lmscore.MU, 40_000 + 2, 401 * 199
+    mu, delta = lmscore.MU, lmscore.MU / (40_000 + 2)
     twin = taught ^ 1  # its other documents hold each of its words once, and one of the target's does too
-    one, own = 2 / (n + size), 2 / (401 + size)
-    inner = math.log2((1 + mu * one) / (1 + mu)) - math.log2((1 + mu * own) / (1 + mu))
-    start = math.log2((1 + mu * one) / (199 + mu)) - math.log2((1 + mu * own) / (1 + mu))
-    end = math.log2((1 + mu * 200 / (n + size)) / (1 + mu)) - math.log2((1 + mu * own) / (1 + mu))
-    assert got[twin] == pytest.approx((399 * inner + start + end) / 401, abs=1e-9)
+    inner = math.log2((1 + delta) / (1 + mu)) - math.log2((1 + delta) / (1 + mu))
+    start = math.log2((1 + delta) / (199 + mu)) - math.log2((1 + delta) / (1 + mu))
+    assert got[twin] == pytest.approx((400 * inner + start) / 401, abs=1e-9) and got[twin] < 0
+    other = taught ^ 4  # nothing of the target's
+    want = 400 * (math.log2((1 + delta) / (1 + mu)) - math.log2(delta / mu)) + math.log2((1 + delta) / (199 + mu)) - math.log2(delta / (1 + mu))
+    assert got[other] == pytest.approx(want / 401, abs=1e-9)
 
 
 def test_lm_scores_of_nothing(docs, no_docs, spark, texts):

@@ -2,14 +2,17 @@
 
 Inputs (pure DataFrames):
 
-* executions: check_id, invocation_id, captured_at, status, scheme, priority, tags
-* observations: check_id, invocation_id, identity, scheme, payload, row_count, owner
+* executions: check_id, invocation_id, captured_at, status, scheme, priority, tags, and what ``RUN_TEXTS`` names
+* observations: check_id, invocation_id, identity, scheme, payload, row_count, owner, call_to_action
 * history: all occurrences so far of the identities at hand (``OCCURRENCE``)
 
 Every candidate meets the executions of its check.  A state counts as failing if
 the execution observed the candidate; an execution that hit its limit says
 nothing about candidates that it did not observe.  All windows and the rollup
 share the partition (check, identity, scheme): one exchange.
+
+A scheme may be null, and null meets null: joins, windows and rollups use
+``SCHEME_KEY``, a text that tells a null from every scheme.
 """
 
 from __future__ import annotations
@@ -21,15 +24,35 @@ from faultline.functions.identity import event_id, occurrence_id, payload_digest
 from faultline.functions.payload import changed_keys, payload_changed
 
 KEY = ["check_id", "identity", "scheme"]
+SCHEME_KEY = "_scheme"
+#: KEY with a scheme that is never null, so that plain equality is null-safe.
+MATCH = ["check_id", "identity", SCHEME_KEY]
 OCCURRENCE = (
     "occurrence_id string, check_id string, identity string, scheme string, number int, payload string, row_count long, tags string,"
     " priority string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, archived_at timestamp_ntz, record_status string,"
     " close_reason string, first_invocation string, last_seen_invocation string, last_invocation string, workflow_status string,"
-    " owner string, verdict string, version int, workflow_at_close string"
+    " owner string, verdict string, version int, workflow_at_close string, check_name string, source_id string, source_name string,"
+    " severity string, test_status string, call_to_action string, ticket_url string, notes string, annotated_at timestamp_ntz,"
+    " granularity string, criticality string"
 )
+#: What an execution says of its check; a column that is missing is null.
+RUN_TEXTS = ("check_name", "source_id", "source_name", "severity", "granularity", "criticality")
 _COLUMNS = [part.split()[0] for part in OCCURRENCE.split(",")]
 
 
+def _text(rows: DataFrame, name: str) -> Column:
+    return (F.col(name) if name in rows.columns else F.lit(None).cast("string")).alias(name)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows with SCHEME_KEY."""
+    return rows.withColumn(SCHEME_KEY, F.coalesce(F.concat(F.lit("="), F.col("scheme")), F.lit("")))
+
+
+def scheme_of(key: str = SCHEME_KEY) -> Column:
+    return F.when(F.col(key) != "", F.substring(key, 2, 2**31 - 1)).alias("scheme")
+
+
 def candidates(observations: DataFrame, active: DataFrame) -> DataFrame:
     return observations.select(*KEY).unionByName(active.select(*KEY)).distinct()
 
@@ -37,22 +60,22 @@ def candidates(observations: DataFrame, active: DataFrame) -> DataFrame:
 def states(executions: DataFrame, observations: DataFrame, history: DataFrame) -> DataFrame:
     """One row per candidate and execution, with what came before it."""
     active = history.where("record_status = 'Active'")
-    prior = active.select(
-        *KEY,
+    prior = keyed(active).select(
+        *MATCH,
         F.col("occurrence_id").alias("open_id"),
         F.col("payload").alias("open_payload"),
     )
-    runs = executions.select("check_id", "invocation_id", "captured_at", "status", F.col("scheme").alias("run_scheme"), "priority", "tags")
-    seen = observations.select(*KEY, "invocation_id", "payload", "row_count", "owner", F.lit(True).alias("failing"))
+    runs = executions.select("check_id", "invocation_id", "captured_at", "status", F.col("scheme").alias("run_scheme"), "priority", "tags", *[_text(executions, c) for c in RUN_TEXTS])
+    seen = keyed(observations).select(*MATCH, "invocation_id", "payload", "row_count", "owner", _text(observations, "call_to_action"), F.lit(True).alias("failing"))
     matrix = (
-        candidates(observations, active)
+        keyed(candidates(observations, active))
         .join(runs, "check_id")
-        .join(seen, [*KEY, "invocation_id"], "left")
+        .join(seen, [*MATCH, "invocation_id"], "left")
         .withColumn("failing", F.coalesce("failing", F.lit(False)))
         .where("failing or status <> 'limit_reached'")
-        .join(prior, KEY, "left")
+        .join(prior, MATCH, "left")
     )
-    w = Window.partitionBy(*KEY).orderBy("captured_at", "invocation_id")
+    w = Window.partitionBy(*MATCH).orderBy("captured_at", "invocation_id")
     first = F.row_number().over(w) == 1
     return (
         matrix.withColumn("was_failing", F.when(first, F.col("open_id").isNotNull()).otherwise(F.lag("failing").over(w)))
@@ -64,7 +87,7 @@ def states(executions: DataFrame, observations: DataFrame, history: DataFrame) -
 
 def considered(state: DataFrame) -> DataFrame:
     """States that belong to an episode, up to its first absence."""
-    w = Window.partitionBy(*KEY, "episode").orderBy("captured_at", "invocation_id")
+    w = Window.partitionBy(*MATCH, "episode").orderBy("captured_at", "invocation_id")
     gone = F.sum((~F.col("failing")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return state.where("episode > 0 or open_id is not null").withColumn("_gone", F.coalesce(gone, F.lit(0))).where("_gone = 0").drop("_gone")
 
@@ -73,10 +96,10 @@ def episodes(state: DataFrame) -> DataFrame:
     """First and last failure, first absence and last execution of each episode."""
     at = F.struct("captured_at", "invocation_id")
     failing, absent = F.when(F.col("failing"), at), F.when(~F.col("failing"), at)
-    here = F.struct("captured_at", "invocation_id", "payload", "row_count", "owner", "run_scheme", "priority", "tags")
+    here = F.struct("captured_at", "invocation_id", "payload", "row_count", "owner", "call_to_action", "run_scheme", "priority", "tags", *RUN_TEXTS)
     return (
         considered(state)
-        .groupBy(*KEY, "episode")
+        .groupBy(*MATCH, "episode")
         .agg(
             F.min_by(here, failing).alias("first"),
             F.max_by(here, failing).alias("last"),
@@ -84,27 +107,29 @@ def episodes(state: DataFrame) -> DataFrame:
             F.max_by(here, at).alias("run"),
             F.count_if("failing").alias("n_failing"),
         )
+        .withColumn("scheme", scheme_of())
     )
 
 
 def occurrences(state: DataFrame, history: DataFrame) -> DataFrame:
     """The new and changed occurrences that the states make of the history."""
-    active = history.where("record_status = 'Active'").select(
-        *KEY, *[F.col(c).alias(f"open_{c}") for c in _COLUMNS if c not in KEY]
+    active = keyed(history.where("record_status = 'Active'")).select(
+        *MATCH, *[F.col(c).alias(f"open_{c}") for c in _COLUMNS if c not in KEY]
     )
     highest = history.groupBy("check_id", "identity").agg(F.max("number").alias("highest"))
     met = (
         episodes(state)
-        .join(active, KEY, "left")
+        .join(active, MATCH, "left")
         .join(highest, ["check_id", "identity"], "left")
     )
     old = F.col("episode") == 0
     kept = lambda c, new: F.when(old, F.col(f"open_{c}")).otherwise(new)
     last = lambda c, field: F.when(old, F.coalesce(F.col("last")[field], F.col(f"open_{c}"))).otherwise(F.col("last")[field])
+    first = lambda c: F.coalesce(F.col("first")[c], F.col(f"open_{c}")).alias(c)
+    null = F.lit(None).cast("string")
     closed = F.col("absence").isNotNull()
-    reason = F.when(~closed, F.lit(None).cast("string")).when(
-        F.col("scheme").isNull() | ~F.col("scheme").eqNullSafe(F.col("absence.run_scheme")), F.lit("IDENTITY_CHANGED")
-    ).otherwise(F.lit("Passed"))
+    same = F.col("scheme") == F.col("absence.run_scheme")  # a null scheme is never known to be the same
+    reason = F.when(closed, F.when(same, "Passed").otherwise("IDENTITY_CHANGED"))
     return met.select(
         kept("occurrence_id", occurrence_id(F.col("check_id"), F.col("identity"), F.col("first.invocation_id"))).alias("occurrence_id"),
         *KEY,
@@ -126,17 +151,25 @@ def occurrences(state: DataFrame, history: DataFrame) -> DataFrame:
         kept("verdict", F.lit("UNREVIEWED")).alias("verdict"),
         kept("version", F.lit(0)).cast("int").alias("version"),
         F.when(closed, kept("workflow_status", F.lit("NEW"))).alias("workflow_at_close"),
+        *[first(c) for c in ("check_name", "source_id", "source_name", "severity")],
+        kept("test_status", F.lit("NEW")).alias("test_status"),
+        kept("call_to_action", F.col("first.call_to_action")).alias("call_to_action"),
+        kept("ticket_url", null).alias("ticket_url"),
+        kept("notes", null).alias("notes"),
+        kept("annotated_at", F.lit(None).cast("timestamp_ntz")).alias("annotated_at"),
+        first("granularity"),
+        F.col("run.criticality").alias("criticality"),
         "episode",
     )
 
 
 def lifecycle_events(state: DataFrame, changed: DataFrame, history: DataFrame, still_failing: bool = False) -> DataFrame:
     """One immutable event for each change of state.  ``changed`` comes from occurrences()."""
-    own = changed.select(*KEY, "episode", "occurrence_id", "number")
-    closings = history.select(*KEY, "number", "close_reason", F.lit(1).alias("late")).unionByName(
-        changed.select(*KEY, "number", "close_reason", F.lit(2).alias("late"))
+    own = keyed(changed).select(*MATCH, "episode", "occurrence_id", "number", F.col("close_reason").alias("own_reason"))
+    closings = keyed(history).select(*MATCH, "number", "close_reason", F.lit(1).alias("late")).unionByName(
+        keyed(changed).select(*MATCH, "number", "close_reason", F.lit(2).alias("late"))
     )
-    before = closings.groupBy(*KEY, (F.col("number") + 1).alias("number")).agg(F.max_by("close_reason", "late").alias("closed_before"))
+    before = closings.groupBy(*MATCH, (F.col("number") + 1).alias("number")).agg(F.max_by("close_reason", "late").alias("closed_before"))
     ends = ~F.col("failing") & F.col("was_failing")
     kind = (
         F.when(F.col("starts"), F.when(F.col("closed_before") == "Passed", "REAPPEARED").otherwise("APPEARED"))
@@ -146,8 +179,8 @@ def lifecycle_events(state: DataFrame, changed: DataFrame, history: DataFrame, s
     kind = kind.when(F.col("failing"), "STILL_FAILING") if still_failing else kind
     return (
         considered(state)
-        .join(own, [*KEY, "episode"])
-        .join(before, [*KEY, "number"], "left")
+        .join(own, [*MATCH, "episode"])
+        .join(before, [*MATCH, "number"], "left")
         .withColumn("event_type", kind)
         .where("event_type is not null")
         .select(
@@ -159,7 +192,8 @@ def lifecycle_events(state: DataFrame, changed: DataFrame, history: DataFrame, s
             F.col("captured_at").alias("event_at"),
             "event_type",
             F.when(F.col("was_failing"), F.col("was_payload")).alias("previous_payload"),
-            "payload",
+            F.coalesce("payload", "was_payload").alias("payload"),
+            F.when(ends, F.col("own_reason")).alias("reason"),
         )
     )
 
@@ -202,6 +236,7 @@ def removed_checks(history: DataFrame, tracked: DataFrame, now: Column, run_id:
         now.alias("event_at"),
         kind.alias("event_type"),
         F.col("payload").alias("previous_payload"),
-        F.lit(None).cast("string").alias("payload"),
+        "payload",
+        F.lit("TEST_REMOVED").alias("reason"),
     )
     return closed, events

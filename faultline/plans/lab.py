@@ -2,7 +2,8 @@
 
 Each event type is a check that runs once a day; the users with such an event on
 a day are its failing records.  Some runs hit their limit, some collect nothing,
-and one check changes its grain.  Days 1 to 15 are replayed first and then
+one
+check changes its grain, and one has no known scheme for a while.  Days 1 to 15 are replayed first and then
 reviewed, days 16 to 28 next; days 29 and 30 wait.
 """
 
@@ -29,7 +30,9 @@ def now() -> Column:
 
 
 def _scheme() -> Column:
-    return F.when((F.col("event_type") == "view") & (F.col("n") >= 20), USER_AND_TYPE).otherwise(USER)
+    kind, n = F.col("event_type"), F.col("n")
+    unknown = (kind == "purchase") & n.between(5, 18)
+    return F.when(unknown, F.lit(None)).when((kind == "view") & (n >= 20), USER_AND_TYPE).otherwise(USER)
 
 
 def _status() -> Column:
@@ -81,6 +84,7 @@ class Lab:
             json_object([("user_id", user), ("event_type", kind), ("band", F.col("band"))]).alias("payload"),
             "row_count",
             F.when(F.col("user_id") % 4 == 0, "alice").when(F.col("user_id") % 4 == 1, " bob ").alias("owner"),
+            F.concat(F.lit("ask "), kind, F.when(F.col("n") % 2 == 0, " today").otherwise(" soon")).alias("call_to_action"),
             "n",
         )
         return kept(found, "observations")
@@ -101,6 +105,12 @@ class Lab:
             _scheme().alias("scheme"),
             F.when(F.col("n") % 9 == 0, F.lit(None)).when(F.col("event_type") == "error", "critical").otherwise("medium").alias("priority"),
             F.concat(F.lit('["'), "event_type", F.lit('"," ops "]')).alias("tags"),
+            F.concat(F.lit("Check "), "event_type", F.when(F.col("n") > 20, " v2").otherwise("")).alias("check_name"),
+            F.lit("raw.events").alias("source_id"),
+            F.concat(F.lit("db.raw."), "event_type").alias("source_name"),
+            F.when(F.col("n") % 5 == 0, "warn").otherwise("error").alias("severity"),
+            F.when(_scheme() == USER_AND_TYPE, '["user_id","event_type"]').when(_scheme() == USER, '["user_id"]').alias("granularity"),
+            F.when(F.col("n") % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("c"), (F.col("n") % 3).cast("string"))).alias("criticality"),
         )
         failures = self.observations.groupBy("check_id", "invocation_id").agg(F.count(F.lit(1)).alias("failure_count"))
         found = F.coalesce("failure_count", F.lit(0))
@@ -168,8 +178,8 @@ class Lab:
 
     @cached_property
     def missed(self) -> DataFrame:
-        """Every 50th customer stands for a missed issue."""
-        c = self.table("customer").where("c_custkey % 50 = 0")
+        """Every customer stands for a missed issue."""
+        c = self.table("customer")
         key = F.col("c_custkey")
         return c.select(
             F.concat(F.lit("missed-"), key.cast("string")).alias("missed_id"),

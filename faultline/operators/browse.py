@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.scalars import contains_text, has_tag, owner_of, priority_rank, workflow_of
 
-SEARCHED = ("check_id", "identity", "payload", "owner", "occurrence_id")
+SEARCHED = ("check_name", "identity", "payload", "workflow_status", "owner", "call_to_action", "notes", "ticket_url", "priority", "tags")
 PAGE_SIZES = (25, 50, 100, 200)
 #: A page goes back to its rows by broadcast; this bounds what is sent.
 MAX_PAGE = 2_000
@@ -20,6 +20,8 @@ MAX_PAGE = 2_000
 @dataclass(frozen=True)
 class Filters:
     lifecycle: str | None = "Active"
+    #: With it, issues archived since then are part of the population of open ones.
+    archived_since: datetime | None = None
     statuses: Sequence[str] = ()
     owners: Sequence[str] = ()
     priorities: Sequence[str] = ()
@@ -33,7 +35,9 @@ class Filters:
     def predicate(self) -> Column:
         parts = [F.lit(True)]
         if self.lifecycle:
-            parts.append(F.col("record_status") == self.lifecycle)
+            shown = F.col("record_status") == self.lifecycle
+            recent = F.col("archived_at") >= F.lit(self.archived_since).cast("timestamp_ntz") if self.archived_since else None
+            parts.append(shown if recent is None else shown | F.coalesce(recent, F.lit(False)))
         if self.statuses:
             parts.append(workflow_of(F.col("workflow_status")).isin(*[s.upper() for s in self.statuses]))
         if self.owners:
@@ -92,11 +96,18 @@ def metrics(issues: DataFrame, filters: Filters) -> DataFrame:
     )
 
 
+def synced(issues: DataFrame, filters: Filters, most: int) -> DataFrame:
+    """What a local copy holds, newest first, and one more, which tells that the copy is not whole."""
+    return issues.where(filters.predicate()).orderBy(F.col("first_seen_at").desc(), "occurrence_id").limit(most + 1)
+
+
 def options(issues: DataFrame, most: int = 500) -> DataFrame:
-    """Choices of the filters: (kind, value), at most so many of each kind."""
+    """Choices of the filters: (kind, value), the first so many of each kind.
+
+    Each kind's choices are a top-k of distinct values, so none is gathered whole.
+    """
     active = issues.where("record_status = 'Active'")
-    tags = active.select(F.explode(F.from_json("tags", "array<string>")).alias("value")).select(F.lit("tag").alias("kind"), F.trim("value").alias("value")).where("value <> 'dqm'")
-    owners = active.select(F.lit("owner").alias("kind"), owner_of(F.col("owner")).alias("value"))
-    statuses = active.select(F.lit("status").alias("kind"), workflow_of(F.col("workflow_status")).alias("value"))
-    found = owners.unionByName(statuses).unionByName(tags).where("value <> ''").distinct()
-    return found.groupBy("kind").agg(F.slice(F.array_sort(F.collect_list("value")), 1, most).alias("v")).select("kind", F.explode("v").alias("value"))
+    tags = active.select(F.explode(F.from_json("tags", "array<string>")).alias("value")).select(F.trim("value").alias("value")).where("value <> 'dqm'")
+    kinds = {"owner": active.select(owner_of(F.col("owner")).alias("value")), "status": active.select(workflow_of(F.col("workflow_status")).alias("value")), "tag": tags}
+    found = [rows.where("value <> ''").distinct().orderBy("value").limit(most).select(F.lit(kind).alias("kind"), "value") for kind, rows in kinds.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])

@@ -49,6 +49,14 @@ def observations(sample: DataFrame, row_owner: Column | None = None, check_owner
     )
 
 
+def row_owner(rows: DataFrame, name: str) -> Column | None:
+    """The column that names a row's owner, in any case; None without one."""
+    found = [c for c in rows.columns if c.lower() == name.lower()]
+    if len(found) > 1:
+        raise ValueError(f"at most one column may be called {name}")
+    return F.col(f"`{found[0]}`") if found else None
+
+
 def collection_status(raw_rows: Column, reported: Column, limit: Column, empty_source: Column) -> Column:
     """What one staged copy says about itself; rows that differ from the reported count are an error."""
     return (

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The fields a reviewer may edit.
-FIELDS = ("workflow_status", "owner", "verdict")
+FIELDS = ("workflow_status", "call_to_action", "ticket_url", "notes", "owner", "verdict")
+# fixed values: what a review can say
 VERDICTS = ("UNREVIEWED", "TRUE_POSITIVE", "FALSE_POSITIVE")
 # fixed values: reasons for an issue that no check found
 ROOT_CAUSES = ("no_test", "test_logic_gap", "threshold_too_loose", "test_not_run", "other")
@@ -55,27 +56,52 @@ def conflicts(occurrences: DataFrame, patches: DataFrame) -> DataFrame:
     return patches.join(now, "occurrence_id", "left").where(~F.col("base_version").eqNullSafe(F.col("current_version")))
 
 
-def applied(occurrences: DataFrame, patches: DataFrame, batch: str, now: Column) -> tuple[DataFrame, DataFrame]:
+def refuse_partial(audit: DataFrame, batch: str, patches: int) -> bool:
+    """Whether the batch has been applied; raises if only a part of it has."""
+    found = audit.where(F.col("batch_id") == batch).count()
+    if found not in (0, patches):
+        raise RuntimeError(f"batch {batch} has {found} of {patches} audit rows")
+    return found > 0
+
+
+def applied(occurrences: DataFrame, patches: DataFrame, batch: str, now: Column, audited: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(the next version of occurrences, audit rows).
 
     patches: occurrence_id, field_name, new_value, base_version.  The old values
-    of the audit are the ledger's own, not what the reviewer believed.
+    of the audit are the ledger's own, not what the reviewer believed.  A workflow
+    status is also the test's status.  audited: the audit so far; patches that it
+    holds under this batch are applied already and do nothing.
     """
+    if audited is not None:
+        done = audited.where(F.col("batch_id") == batch).select("occurrence_id", "field_name")
+        patches = patches.join(done, ["occurrence_id", "field_name"], "left_anti")
     per = patches.groupBy("occurrence_id").agg(
         F.map_from_entries(F.collect_list(F.struct("field_name", "new_value"))).alias("_edits"), F.max("base_version").alias("_base")
     )
     met = occurrences.join(per, "occurrence_id", "left")
     hit = F.col("_base").eqNullSafe(F.col("version")) & F.col("_edits").isNotNull()
-    edited = lambda c: F.when(hit & F.map_contains_key("_edits", F.lit(c)), F.element_at("_edits", F.lit(c))).otherwise(F.col(c))
-    version = F.when(hit, F.col("version") + 1).otherwise(F.col("version"))
-    after = met.select(*[edited(c).alias(c) if c in FIELDS else version.alias(c) if c == "version" else F.col(c) for c in occurrences.columns])
-    old = F.when(F.col("field_name") == FIELDS[0], F.col(FIELDS[0]))
-    for name in FIELDS[1:]:
-        old = old.when(F.col("field_name") == name, F.col(name))
+    known = [c for c in FIELDS if c in occurrences.columns]
+
+    def edited(c: str, of: str | None = None) -> Column:
+        name = F.lit(of or c)
+        return F.when(hit & F.map_contains_key("_edits", name), F.element_at("_edits", name)).otherwise(F.col(c)).alias(c)
+
+    made = {c: edited(c) for c in known} | {
+        "test_status": edited("test_status", "workflow_status") if "test_status" in occurrences.columns else None,
+        "version": F.when(hit, F.col("version") + 1).otherwise(F.col("version")).alias("version"),
+        "annotated_at": F.when(hit, now).otherwise(F.col("annotated_at")).alias("annotated_at") if "annotated_at" in occurrences.columns else None,
+    }
+    after = met.select(*[F.col(c) if made.get(c) is None else made[c] for c in occurrences.columns])
+    old = F.lit(None).cast("string")
+    for name in known:
+        old = F.when(F.col("field_name") == name, F.col(name)).otherwise(old)
     audit = (
-        patches.join(occurrences.select("occurrence_id", "version", *FIELDS), "occurrence_id")
+        patches.join(occurrences.select("occurrence_id", "version", *known), "occurrence_id")
         .where("base_version = version")
-        .select(F.lit(batch).alias("batch_id"), "occurrence_id", "field_name", old.alias("old_value"), "new_value", F.col("version").alias("from_version"), now.alias("changed_at"))
+        .select(
+            F.lit(batch).alias("batch_id"), "occurrence_id", "field_name", old.alias("old_value"), "new_value",
+            F.col("version").alias("from_version"), (F.col("version") + 1).alias("to_version"), now.alias("changed_at"),
+        )
     )
     return after, audit
 
@@ -85,7 +111,7 @@ def drift(pending: DataFrame, occurrences: DataFrame) -> DataFrame:
 
     pending: occurrence_id, field_name, base_value, base_version.
     """
-    each = occurrences.select("occurrence_id", "version", F.explode(F.create_map(*[x for c in FIELDS for x in (F.lit(c), F.col(c))])).alias("field_name", "current_value"))
+    each = occurrences.select("occurrence_id", "version", F.explode(F.create_map(*[x for c in FIELDS if c in occurrences.columns for x in (F.lit(c), F.col(c))])).alias("field_name", "current_value"))
     return (
         pending.join(each, ["occurrence_id", "field_name"])
         .where(~F.col("base_value").eqNullSafe(F.col("current_value")) | ~F.col("base_version").eqNullSafe(F.col("version")))

@@ -246,6 +246,30 @@ def owner_summary(occurrences: DataFrame, events: DataFrame, inputs: DataFrame)
     )
 
 
+def by_owner(summary: DataFrame) -> list[dict]:
+    """The rows of owner_summary() as they are shown: most new issues first, and always one for those without an owner."""
+    rows = [r.asDict() for r in summary.collect()]  # one for each owner
+    if not any(r["owner"] == "Unassigned" for r in rows):
+        rows.append({c: "Unassigned" if c == "owner" else 0 for c in summary.columns})
+    return sorted(rows, key=lambda r: (-r["new"], r["owner"].casefold(), r["owner"]))
+
+
+def run_summary(ledger, run_id: str) -> list[dict]:
+    """by_owner() of one reconciliation; refused unless it has completed and nothing came after it."""
+    manifest = ledger.manifest()
+    run = ledger.read("runs", manifest).where(F.col("run_id") == run_id).first()
+    if run is None or run.status != "completed" or run.generation_at_freeze + 1 != manifest["generation"]:
+        raise RuntimeError("the run is unavailable or the evidence has changed since")
+    inputs = ledger.read("inputs", manifest).where(F.col("run_id") == run_id)
+    return by_owner(owner_summary(ledger.read("occurrences", manifest), ledger.read("events", manifest), inputs))
+
+
+def by_attention(health: DataFrame) -> DataFrame:
+    """Check or area health with most attention flags first."""
+    flags_ = F.size(F.filter(F.split("attention_flags", ","), lambda f: f != ""))
+    return health.withColumn("_flags", flags_).orderBy(F.desc("_flags"), *[c for c in ("check_id", "source_id") if c in health.columns]).drop("_flags")
+
+
 def structural_closures(events: DataFrame, inputs: DataFrame) -> DataFrame:
     return (
         events.where("event_type = 'CLOSED_STRUCTURAL'")

@@ -11,6 +11,7 @@ from faultline.functions.identity import canonical_identity, identity_hash, norm
 from faultline.functions.payload import json_object
 from faultline.operators import capture
 from faultline.plans.lab_sql import prefixed
+from faultline.sources.scratch import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,22 +36,22 @@ def failing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lines.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.where("l_shipdate < o_orderdate").select(
         "l_orderkey", "l_linenumber", F.col("l_quantity").cast("decimal(18,2)").alias("quantity"), "l_returnflag",
-        F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" owner"), (F.col("l_suppkey") % 5).cast("string"))).alias("dqm_owner"),
+        F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" owner"), (F.col("l_suppkey") % 5).cast("string"))).alias("row_owner"),
     )
 
 
 _SUBJECT = f"""
 bad as (
     select l_orderkey, l_linenumber, cast(l_quantity as decimal(18,2)) as quantity, l_returnflag,
-        case when l_partkey % 3 = 0 then ' owner' || (l_suppkey % 5) end as dqm_owner
+        case when l_partkey % 3 = 0 then ' owner' || (l_suppkey % 5) end as row_owner
     from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate),
 hashed as (
     select *, sha256('dqm-id-v1|k10:l_orderkey|' || {prefixed("cast(l_orderkey as varchar)")} || 'k12:l_linenumber|' || {prefixed("cast(l_linenumber as varchar)")}) as identity,
         cast(json_object('l_orderkey', cast(l_orderkey as varchar), 'l_linenumber', cast(l_linenumber as varchar), 'quantity', cast(quantity as varchar),
-            'l_returnflag', l_returnflag, 'dqm_owner', dqm_owner) as varchar) as payload
+            'l_returnflag', l_returnflag, 'row_owner', row_owner) as varchar) as payload
     from bad),
 per as (
-    select identity, count(*) as row_count, min(payload) as payload, min(nullif(trim(dqm_owner), '')) as low, max(nullif(trim(dqm_owner), '')) as high
+    select identity, count(*) as row_count, min(payload) as payload, min(nullif(trim(row_owner), '')) as low, max(nullif(trim(row_owner), '')) as high
     from hashed group by identity)"""
 
 
@@ -100,7 +101,7 @@ def capture_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 select identity, row_count, payload, case when low <> high then 'team' else coalesce(low, 'team') end as owner, coalesce(low <> high, false) as owner_conflict from per""")
 def capture_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = capture.bounded_sample(failing_lines(spark, sf_dir), GRAIN, None)
-    return capture.observations(sample, F.col("dqm_owner"), "team")
+    return capture.observations(sample, F.col("row_owner"), "team")
 
 
 @query(f"""with {_SUBJECT}, s as (
@@ -108,9 +109,9 @@ def capture_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 select s.*, c.check_id, case when c.reported <> raw_rows then 'collection_error' when c.cap is not null and raw_rows >= c.cap then 'limit_reached' else 'success' end as status
 from s, (values ('no limit', (select count(*) from bad), null), ('small limit', (select count(*) from bad), 100), ('wrong count', -1, null)) c(check_id, reported, cap)""")
 def capture_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = failing_lines(spark, sf_dir)
-    stats = capture.capture_stats(capture.observations(capture.bounded_sample(rows, GRAIN, None), F.col("dqm_owner"), "team"))
-    counted = rows.agg(F.count(F.lit(1)).alias("n"))
+    staged = kept(capture.bounded_sample(failing_lines(spark, sf_dir), GRAIN, None), "staged")
+    stats = capture.capture_stats(capture.observations(staged, capture.row_owner(staged, "ROW_OWNER"), "team"))
+    counted = staged.agg(F.count(F.lit(1)).alias("n"))
     cases = F.array(*[F.struct(F.lit(a).alias("check_id"), b.alias("reported"), F.lit(c).cast("long").alias("cap")) for a, b, c in (("no limit", F.col("n"), None), ("small limit", F.col("n"), 100), ("wrong count", F.lit(-1).cast("long"), None))])
     both = stats.join(counted.select(F.explode(cases).alias("c")))  # one row beside three
     status = capture.collection_status(F.col("raw_rows"), F.col("c.reported"), F.col("c.cap"), F.lit(False))

@@ -26,6 +26,7 @@ class Check:
     limit: int | None = 100
     depends_on: tuple[str, ...] = ()
     settings: dict = field(default_factory=dict)
+    owner_column: str = "row_owner"
 
     def failing(self, spark: SparkSession) -> DataFrame:
         return spark.sql(self.rows) if isinstance(self.rows, str) else self.rows(spark)
@@ -48,7 +49,7 @@ class Check:
         if columns is not None:
             low = [c.lower() for c in columns]
             found += [f"grain column {g!r} must match exactly one output column" for g in grain if low.count(g) != 1]
-            if low.count("dqm_owner") > 1:
+            if low.count(self.owner_column.lower()) > 1:
                 found.append("at most one output column may name the row's owner")
         if self.priority is not None and str(self.priority).strip().lower() not in (*PRIORITIES, "unset"):
             found.append(f"priority must be one of {', '.join(PRIORITIES)} or unset")
@@ -60,7 +61,7 @@ class Check:
             found.append("failures must be counted by count(*)")
         if self.settings.get("storage", "table") != "table":
             found.append("failures must be stored as a table")
-        if "dqm_owner" in self.settings:
+        if {"owner", self.owner_column} & self.settings.keys():
             found.append("the owner belongs to the check, not to its settings")
         try:
             owner_text(self.owner)

@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 from faultline.functions.identity import event_id
 from faultline.functions.payload import changed_keys, payload_changed
-from faultline.operators import apply, browse, export, replay, retention, review, views
+from faultline.operators import apply, browse, export, reconcile, replay, retention, review, views
 from faultline.plans import lab_sql as L
 from faultline.plans.lab import Lab, now
+from faultline.plans.lab import review as reviewed
+from faultline.sources.scratch import changed_at, scratch_path
+from faultline.sources.store import Ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-_labs: dict[tuple[str, str], Lab] = {}
+_labs: dict[tuple[str, ...], Lab] = {}
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> Lab:
-    """The ledger of one input, whose stored tables the queries of an application share."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The ledger of one input as it is now, whose stored tables the queries of an application share."""
+    key = (spark.sparkContext.applicationId, sf_dir, *changed_at(spark, f"{sf_dir}/events.parquet"), *changed_at(spark, f"{sf_dir}/customer.parquet"))
     if key not in _labs:
         _labs[key] = Lab(spark, sf_dir)
     return _labs[key]
@@ -46,7 +49,7 @@ def tss(*columns: str) -> str:
     return ", ".join(f"{L.shown(c)} as {c}" for c in columns)
 
 
-_TIMES = ("first_seen_at", "last_seen_at", "archived_at")
+_TIMES = ("first_seen_at", "last_seen_at", "archived_at", "annotated_at")
 _PLAIN = [c for c in replay._COLUMNS if c not in _TIMES]
 
 
@@ -188,6 +191,26 @@ def apply_upsert(lab: Lab) -> DataFrame:
     return whole(apply.merged(lab.reviewed, lab.second_changes.drop("episode")))
 
 
+@query(L.ledger(f"select {_WHOLE}, 3 as generation, 3 as completed_runs, (select count(*) from ev where ev.occurrence_id = occ.occurrence_id) as n_events from occ"))
+def reconcile_thrice(lab: Lab) -> DataFrame:
+    """A ledger of its own: days 1 to 15 are reconciled and reviewed, then days 16 to 28, then nothing new, which changes nothing."""
+    ledger = Ledger(lab.spark, scratch_path(lab.spark, "ledger"))
+    ledger.create(reconcile.TABLES)
+    tracked = lab.executions.select("check_id").distinct()
+    for run, (first, last) in {"run-1": (1, 15), "run-2": (16, 28), "run-3": (1, 0)}.items():
+        days = F.col("n").between(first, last)
+        found = {"executions": lab.executions.where(days), "observations": lab.observations.where(days)}
+        ledger.commit(ledger.manifest(), append={t: reconcile.shaped(rows, t) for t, rows in found.items()})
+        reconcile.reconcile(ledger, tracked, run, now())
+        if run == "run-1":
+            ledger.commit(ledger.manifest(), replace={"occurrences": reviewed(ledger.read("occurrences"))})
+    done = ledger.read("runs").where("status = 'completed'").count()
+    events = ledger.read("events").groupBy("occurrence_id").agg(F.count(F.lit(1)).alias("n_events"))
+    return whole(ledger.read("occurrences")).join(events, "occurrence_id").select(
+        "*", F.lit(ledger.manifest()["generation"]).alias("generation"), F.lit(done).cast("int").alias("completed_runs")
+    )
+
+
 _PATCHED = "record_status = 'Active' and identity[3] <= 'b'"
 _EDITED = "record_status = 'Active' and identity[3] <= '8'"
 
@@ -358,12 +381,12 @@ def area_health(lab: Lab) -> DataFrame:
 
 _LOG_SQL = """
 lg as (
-    select 'step' || (o_orderkey % 6) as step, 'run-' || (o_orderkey % 97) as invocation_id,
-        case when o_orderkey % 6 = 1 and o_orderkey % 11 = 3 then 'failed' when o_orderkey % 6 = 3 then 'failed' else 'succeeded' end as outcome,
+    select 'step' || (o_orderkey % 5) as step, 'run-' || (o_orderkey % 97) as invocation_id,
+        case when o_orderkey % 5 = 1 and o_orderkey % 11 = 3 then 'failed' when o_orderkey % 5 = 3 then 'failed' else 'succeeded' end as outcome,
         o_orderdate + to_days(cast(o_orderkey % 97 as integer)) as logged_at, timestamp '2024-01-01' + to_days(cast(o_orderkey % 97 as integer)) as trigger_marker_at,
-        case when o_orderkey % 6 = 4 and o_orderkey % 13 = 2 then null when o_orderkey % 7 = 0 then 'manual' else 'automatic' end as trigger_kind,
-        'd' || o_orderkey as diagnostic_id, o_orderkey % 6 as s
-    from orders where o_orderkey % 6 < 5),
+        case when o_orderkey % 5 = 4 and o_orderkey % 13 = 2 then null when o_orderkey % 7 = 0 then 'manual' else 'automatic' end as trigger_kind,
+        'd' || o_orderkey as diagnostic_id, o_orderkey % 5 as s
+    from orders),
 io as (
     select step, invocation_id, case when min(outcome) = max(outcome) then min(outcome) else 'ambiguous' end as outcome,
         case when count(*) = count(oa) then max(oa) end as order_at, max(logged_at) as logged_at
@@ -388,13 +411,13 @@ def maintenance_health(lab: Lab) -> DataFrame:
     k, spark = F.col("o_orderkey"), lab.spark
     day = lambda n: F.make_dt_interval(n.cast("int"))
     marker = F.expr("timestamp_ntz '2024-01-01'") + day(k % 97)
-    log = lab.table("orders").where(k % 6 < 5).select(
-        F.concat(F.lit("step"), (k % 6).cast("string")).alias("step"),
+    log = lab.table("orders").select(
+        F.concat(F.lit("step"), (k % 5).cast("string")).alias("step"),
         F.concat(F.lit("run-"), (k % 97).cast("string")).alias("invocation_id"),
-        F.when((k % 6 == 1) & (k % 11 == 3), "failed").when(k % 6 == 3, "failed").otherwise("succeeded").alias("outcome"),
+        F.when((k % 5 == 1) & (k % 11 == 3), "failed").when(k % 5 == 3, "failed").otherwise("succeeded").alias("outcome"),
         (F.col("o_orderdate") + day(k % 97)).alias("logged_at"),
         marker.alias("trigger_marker_at"),
-        F.when((k % 6 == 4) & (k % 13 == 2), F.lit(None)).when(k % 7 == 0, "manual").otherwise("automatic").alias("trigger_kind"),
+        F.when((k % 5 == 4) & (k % 13 == 2), F.lit(None)).when(k % 7 == 0, "manual").otherwise("automatic").alias("trigger_kind"),
         F.concat(F.lit("d"), k.cast("string")).alias("diagnostic_id"),
     )
     ids = spark.range(97).select(F.concat(F.lit("run-"), F.col("id").cast("string")).alias("invocation_id"), (F.expr("timestamp_ntz '2024-01-01'") + day(F.col("id"))).alias("marker_at"))
@@ -433,7 +456,7 @@ def browse_filters(lab: Lab) -> DataFrame:
     return browse.keys(lab.issues, FILTERS).select("occurrence_id", "rank", ts("first_seen_at"))
 
 
-@query(L.ledger("select occurrence_id, check_id from hist where record_status = 'Active' and contains(lower(check_id || ' ' || identity || ' ' || payload || ' ' || coalesce(owner, '') || ' ' || occurrence_id), '\"user_id\":\"1')"))
+@query(L.ledger("select occurrence_id, check_id from hist where record_status = 'Active' and contains(lower(concat_ws(' ', check_name, identity, payload, workflow_status, coalesce(owner, ''), coalesce(call_to_action, ''), coalesce(notes, ''), coalesce(ticket_url, ''), coalesce(priority, ''), tags)), '\"user_id\":\"1')"))
 def browse_search(lab: Lab) -> DataFrame:
     return lab.issues.where(browse.Filters(search='"USER_ID":"1').predicate()).select("occurrence_id", "check_id")
 

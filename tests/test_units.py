@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import identity, payload, scalars
-from faultline.operators import apply, browse, capture, export, replay, retention, review, views
+from faultline.operators import apply, browse, capture, collect, export, reconcile, replay, retention, review, views
 from faultline.plans.checks import Check, Registry, by_outcome
 from faultline.sources.store import Ledger, Stale
 from faultline.streaming.capture import captured_stream
@@ -86,7 +86,7 @@ def test_checks(spark):
     bad = {
         "grain": Check("x", "", ()), "repeat": Check("x", "", ("a", " A")), "missing": Check("x", "", ("b",)), "priority": Check("x", "", ("a",), priority="huge"),
         "limit": Check("x", "", ("a",), limit=0), "calc": Check("x", "", ("a",), settings={"fail_calc": "sum(x)"}), "view": Check("x", "", ("a",), settings={"storage": "view"}),
-        "key": Check("x", "", ("a",), settings={"dqm_owner": "z"}), "owner": Check("x", "", ("a",), owner=[1]), "criticality": Check("x", "", ("a",), criticality=3),
+        "key": Check("x", "", ("a",), settings={"owner": "z"}), "owner": Check("x", "", ("a",), owner=[1]), "criticality": Check("x", "", ("a",), criticality=3),
     }
     assert all(c.problems(["a"]) for c in bad.values())
     registry = Registry([good, Check("c2", "select 2 as id", ("id",))])
@@ -142,6 +142,80 @@ def test_replay_semantics(spark):
         assert run_all(spark, executions, observations, splits)[:2] == (occurrences, events)
 
 
+def test_replay_of_null_schemes(spark):
+    """A null scheme meets a null scheme: it is observed, closed by absence as structural, and never lost."""
+    runs = [(1, "success", None), (2, "success", None), (3, "success", None), (4, "success", "s1"), (5, "success", "s1")]
+    executions, observations = evidence(spark, runs, {1: {"a": 1, "b": 1}, 2: {"a": 2}, 3: {"a": 2, "b": 1}, 4: {"z": 2}, 5: {"z": 2}})
+    occurrences, events, ledger = run_all(spark, executions, observations, ["i05"])
+    found = {(r.identity, r.scheme, r.number): (r.record_status, r.close_reason) for r in ledger.collect()}
+    assert found == {
+        ("a", None, 1): ("Archived", "IDENTITY_CHANGED"), ("b", None, 1): ("Archived", "IDENTITY_CHANGED"),
+        ("b", None, 2): ("Archived", "IDENTITY_CHANGED"), ("z", "s1", 1): ("Active", None),
+    }
+    assert Counter(t for _, t, _ in events) == {"APPEARED": 4, "VALUES_CHANGED": 1, "STILL_FAILING": 2, "DISAPPEARED": 1, "CLOSED_STRUCTURAL": 2}
+    assert run_all(spark, executions, observations, ["i01", "i03", "i04", "i05"])[:2] == (occurrences, events)
+
+
+def test_collect_reconcile_and_review(spark, tmp_path):
+    """From a check's rows to reviewed occurrences, with the guards on the way."""
+    now = F.expr("timestamp_ntz '2024-02-01'")
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    ledger.create(reconcile.TABLES)
+    made = lambda rows, **more: Check("c", lambda s: s.createDataFrame(rows, "id string, v int, Row_Owner string"), ("id",), name="C", owner="team", call_to_action="look", **more)
+    at = lambda n: F.expr(f"timestamp_ntz '2024-01-0{n} 00:00:00'")
+    assert collect.collect(ledger, made([("A", 1, None), ("a", 2, "x"), ("b", 1, " y ")]), "i1", at(1)) == "success"
+    assert collect.collect(ledger, made([("a", 1, None)]), "i2", at(2), reported=5) == "collection_error"
+    assert collect.collect(ledger, Check("bad", "select 1 as v", ("id",)), "i1", at(1)) == "configuration_error"
+    assert ledger.read("observations").where("invocation_id = 'i2'").isEmpty() and ledger.read("executions").count() == 3
+    tracked = spark.createDataFrame([("c",)], "check_id string")
+    reconcile.reconcile(ledger, tracked, "r1", now)
+    rows = {r.owner: r for r in ledger.read("occurrences").collect()}
+    assert {o: (r.record_status, r.row_count, r.call_to_action, r.check_name, r.version) for o, r in rows.items()} == {"x": ("Active", 2, "look", "C", 0), "y": ("Active", 1, "look", "C", 0)}
+    assert [(r["owner"], r["new"], r["opened"]) for r in views.run_summary(ledger, "r1")] == [("x", 1, 1), ("y", 1, 1), ("Unassigned", 0, 0)]
+
+    # reviewers edit while a run is under way; the replay keeps what they own, and the run goes on top of it
+    assert collect.collect(ledger, made([("b", 7, None)]), "i3", at(3)) == "success"
+    frozen = reconcile.freeze(ledger, tracked, "r2", now)
+    edits = [review.Patch(rows["x"].occurrence_id, "workflow_status", "TRIAGED", 0), review.Patch(rows["x"].occurrence_id, "notes", "known", 0)]
+    patches = spark.createDataFrame([(p.occurrence_id, p.field_name, p.new_value, p.base_version) for p in edits], "occurrence_id string, field_name string, new_value string, base_version int")
+    batch = review.batch_id(edits)
+    after, audit = review.applied(ledger.read("occurrences"), patches, batch, now)
+    ledger.commit(ledger.manifest(), replace={"occurrences": reconcile.shaped(after, "occurrences")}, append={"changes": reconcile.shaped(audit, "changes")})
+    assert review.refuse_partial(ledger.read("changes"), batch, 2)
+    with pytest.raises(RuntimeError):
+        review.refuse_partial(ledger.read("changes"), batch, 3)
+    again, none = review.applied(ledger.read("occurrences"), patches, batch, now, ledger.read("changes"))
+    assert none.isEmpty() and sorted(map(str, again.collect())) == sorted(map(str, ledger.read("occurrences").collect()))
+    reconcile.abandon(ledger, "r2")
+    reconcile.reconcile(ledger, tracked, "r3", now)
+    got = {r.identity: r for r in ledger.read("occurrences").collect()}
+    x, y = got[rows["x"].identity], got[rows["y"].identity]
+    assert (x.record_status, x.workflow_status, x.test_status, x.notes, x.version, x.workflow_at_close) == ("Archived", "TRIAGED", "TRIAGED", "known", 1, "TRIAGED")
+    assert y.record_status == "Active" and y.payload == '{"id":"b","v":"7","Row_Owner":null}'
+    assert {r.run_id: r.status for r in ledger.read("runs").collect()} == {"r1": "completed", "r2": "abandoned", "r3": "completed"}
+    assert ledger.manifest()["generation"] == 2 and frozen["generation"] == 1
+    with pytest.raises(RuntimeError):
+        views.run_summary(ledger, "r1")
+    # late evidence is refused, and whoever froze before another run's commit is refused too
+    assert collect.collect(ledger, made([]), "i0", F.expr("timestamp_ntz '2023-12-31'")) == "success"
+    with pytest.raises(ValueError, match="late evidence: c/i0"):
+        reconcile.reconcile(ledger, tracked, "r4", now)
+    for table, keys in reconcile.KEYS.items():
+        assert apply.repeated_keys(ledger.read(table), keys).isEmpty(), table
+
+
+def test_invariants_show_planted_violations(spark):
+    row = ("o", "c", "i", None, "Active")
+    rows = spark.createDataFrame([row, row], "occurrence_id string, check_id string, identity string, scheme string, record_status string")
+    assert apply.repeated_keys(rows.where("record_status = 'Active'"), replay.KEY).count() == 1
+    with pytest.raises(ValueError):
+        apply.require_none(apply.repeated_keys(rows, ["occurrence_id"]), "twice")
+    new = apply.insert_new(rows.limit(0), spark.createDataFrame([("o", "c", "2", None, "x"), ("o", "c", "1", None, "x")], rows.schema), ["occurrence_id"])
+    assert [r.identity for r in new.collect()] == ["1"]
+    runs = spark.createDataFrame([("a", "started", datetime(2024, 1, 1)), ("b", "started", datetime(2024, 1, 2))], "run_id string, status string, started_at timestamp_ntz")
+    assert {r.run_id: r.status for r in apply.abandoned(runs, F.expr("timestamp_ntz '2024-01-02 00:10:00'"), 30).collect()} == {"a": "abandoned", "b": "started"}
+
+
 @pytest.mark.parametrize("mode", ["full", "changed_columns", "none"])
 def test_payload_modes(spark, mode):
     events = spark.createDataFrame([("e", "VALUES_CHANGED", '{"a":"1"}', '{"a":"2"}')], "event_id string, event_type string, previous_payload string, payload string")

@@ -9,7 +9,6 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,6 +17,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.sources.scratch import scratch_path
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Stands for a null id inside joins; it sorts below every real id.
@@ -35,7 +36,10 @@ _shipped: set[str] = set()
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Set what Python stages need, and ship this package to the executors once per application."""
+    """Set what Python stages need, and ship this package to the executors once per application.
+
+    The settings stay: frames are returned before they run, and it is then that batches are made.
+    """
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
@@ -55,24 +59,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base
-    base = tempfile.mkdtemp(prefix="faultline-")
-    atexit.register(shutil.rmtree, base, True)
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside are dropped as soon as it has ended."""

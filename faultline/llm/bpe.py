@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +123,12 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def shipped(df: DataFrame, path: str) -> str:
+    """The name under which every executor finds the ranks, which the driver sends once."""
+    df.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def _mapped(df: DataFrame, source: str, outputs: dict[str, T.DataType], make) -> DataFrame:
     """df with columns made from one source column, batch by batch."""
     tune(df.sparkSession)
@@ -138,8 +146,10 @@ def _mapped(df: DataFrame, source: str, outputs: dict[str, T.DataType], make) ->
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs plus n_tokens and token_ids (little-endian unsigned 32-bit)."""
 
+    name = shipped(docs, path)
+
     def make(texts: pa.Array) -> list[pa.Array]:
-        each = codec(path, pattern).encode
+        each = codec(SparkFiles.get(name), pattern).encode
         ids = [each(t or "") for t in texts.to_pylist()]
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
 
@@ -149,8 +159,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
     """encoded plus decoded, the bytes that its token ids stand for."""
 
+    name = shipped(encoded, path)
+
     def make(column: pa.Array) -> list[pa.Array]:
-        each = codec(path, pattern).decode
+        each = codec(SparkFiles.get(name), pattern).decode
         return [pa.array([each(x or b"") for x in column.to_pylist()], pa.binary())]
 
     return _mapped(encoded, ids, {"decoded": T.BinaryType()}, make)
@@ -159,8 +171,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids")
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs plus n_tokens, token_ids and decoded: encode() and decode() in one worker, with one set of ranks."""
 
+    name = shipped(docs, path)
+
     def make(texts: pa.Array) -> list[pa.Array]:
-        both = codec(path, pattern)
+        both = codec(SparkFiles.get(name), pattern)
         ids = [both.encode(t or "") for t in texts.to_pylist()]
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(both.decode, ids), pa.binary())]
 

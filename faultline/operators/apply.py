@@ -58,6 +58,13 @@ def refuse_late(frozen: DataFrame, state: DataFrame) -> None:
         raise ValueError("late evidence: " + ", ".join(f"{r.check_id}/{r.invocation_id}" for r in found))
 
 
+def refuse_unskippable(items: DataFrame, executions: DataFrame, receipts: DataFrame, state: DataFrame) -> None:
+    """Raise unless every item is given once and is a usable, late execution without a receipt."""
+    require_none(repeated_keys(items, EXECUTION_KEY), "an execution is given twice")
+    chosen = executions.where(usable()).join(receipts, EXECUTION_KEY, "left_anti")
+    require_none(items.join(late(chosen, state), EXECUTION_KEY, "left_anti"), "an execution is unknown, unusable, not late or received already")
+
+
 def skip_late(items: DataFrame, executions: DataFrame, receipts: DataFrame, state: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(events, receipts) that record late, usable and unreceipted executions as skipped."""
     chosen = (

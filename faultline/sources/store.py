@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
 
@@ -25,6 +27,16 @@ class Stale(RuntimeError):
     """Another commit came first."""
 
 
+@dataclass(frozen=True)
+class Migration:
+    """Columns that tables get, what old rows have in them, and what must hold afterwards."""
+
+    name: str
+    columns: Mapping[str, Mapping[str, str]]
+    backfill: Mapping[tuple[str, str], Column] = field(default_factory=dict)
+    verify: Callable[[dict[str, DataFrame]], None] = lambda tables: None
+
+
 class Ledger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -38,7 +50,7 @@ class Ledger:
         """An empty ledger; tables map names to schemas."""
         first = {
             "version": 0, "generation": 0, "schema_version": SCHEMA_VERSION, "installation_id": uuid.uuid4().hex,
-            "raw_pruned_before": None, "schemas": dict(tables), "tables": {t: [] for t in tables},
+            "raw_pruned_before": None, "migrations": [], "schemas": dict(tables), "tables": {t: [] for t in tables},
         }
         self._put(first)
         return first
@@ -109,3 +121,57 @@ class Ledger:
                 return self.commit(current, **make(current), **how)
             except Stale:
                 current = self.manifest()
+
+    def snapshot(self, *tables: str) -> tuple[dict[str, DataFrame], dict]:
+        """Several tables as of one version, and its manifest, which is there even if all of them are empty."""
+        m = self.manifest()
+        return {t: self.read(t, m) for t in tables or m["tables"]}, m
+
+    def views(self, prefix: str = "") -> dict:
+        """Temporary views of every table as of the latest version; the manifest that they show."""
+        frames, m = self.snapshot()
+        for name, frame in frames.items():
+            frame.createOrReplaceTempView(f"{prefix}{name}")
+        return m
+
+    def refresh(self, tables: Mapping[str, str]) -> dict:
+        """Start over: every table is empty, under a new installation id; older versions stay readable."""
+        base = self.manifest()
+        empty = {"schemas": dict(tables), "installation_id": uuid.uuid4().hex, "raw_pruned_before": None, "migrations": [], "schema_version": SCHEMA_VERSION}
+        after = base | empty | {"version": base["version"] + 1, "generation": base["generation"] + 1, "tables": {t: [] for t in tables}}
+        self._put(after)
+        return after
+
+    def migrate(self, steps: Iterable[Migration]) -> list[str]:
+        """Apply the steps that are not recorded yet, in order: add, backfill, verify, record; each is one commit."""
+        done = []
+        for step in steps:
+            base = self.manifest()
+            if step.name in base.get("migrations", []):
+                continue
+            schemas, changed = dict(base["schemas"]), {}
+            for table, columns in step.columns.items():
+                frame = self.read(table, base)
+                for name, kind in columns.items():
+                    if name in frame.columns:
+                        raise ValueError(f"{table} has a column {name} already")
+                    frame = frame.withColumn(name, step.backfill.get((table, name), F.lit(None)).cast(kind))
+                    schemas[table] += f", {name} {kind}"
+                changed[table] = frame
+            step.verify(changed)
+            self.commit(base, replace=changed, new_generation=True, schemas=schemas, migrations=[*base.get("migrations", []), step.name])
+            done.append(step.name)
+        return done
+
+    def verify(self, tables: Mapping[str, str], keys: Mapping[str, list[str]]) -> None:
+        """Raise unless every table has its columns, in order and of their types, and its keys name rows."""
+        frames, m = self.snapshot()
+        for table, schema in tables.items():
+            if table not in frames:
+                raise RuntimeError(f"{table} is missing")
+            want = [(f.name, f.dataType) for f in self.spark.createDataFrame([], schema).schema]
+            if [(f.name, f.dataType) for f in frames[table].schema][: len(want)] != want:
+                raise RuntimeError(f"{table} has other columns than it should")
+        for table, names in keys.items():
+            if not frames[table].groupBy(*names).count().where("count > 1").isEmpty():
+                raise RuntimeError(f"{table} has a key twice")

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import identity, payload, scalars
-from faultline.operators import apply, browse, capture, collect, export, reconcile, replay, retention, review, views
+from faultline.operators import apply, browse, capture, collect, export, maintenance, reconcile, replay, retention, review, views
 from faultline.plans.checks import Check, Registry, by_outcome
-from faultline.sources.store import Ledger, Stale
+from faultline.sources.seeds import read_seed
+from faultline.sources.store import Ledger, Migration, Stale
 from faultline.streaming.capture import captured_stream
 
 GOLDEN = [
@@ -204,6 +205,60 @@ def test_collect_reconcile_and_review(spark, tmp_path):
         assert apply.repeated_keys(ledger.read(table), keys).isEmpty(), table
 
 
+def test_maintenance_of_a_ledger(spark, tmp_path):
+    now, day = F.expr("timestamp_ntz '2024-02-01'"), lambda n: datetime(2024, 1, n)
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    ledger.create(reconcile.TABLES)
+    made = lambda rows: Check("c", lambda s: s.createDataFrame(rows, "id string"), ("id",))
+    for n, rows in ((2, [("a",)]), (3, []), (4, [("a",)])):
+        collect.collect(ledger, made(rows), f"i{n}", F.lit(day(n)).cast("timestamp_ntz"))
+    tracked = spark.createDataFrame([("c",)], "check_id string")
+    reconcile.reconcile(ledger, tracked, "r1", now)
+    assert maintenance.verified_snapshot(ledger)[0].count() == 2
+
+    # what comes too late can be skipped, but nothing else
+    collect.collect(ledger, made([("z",)]), "i1", F.lit(day(1)).cast("timestamp_ntz"))
+    some = lambda *ids: spark.createDataFrame([("c", i) for i in ids], "check_id string, invocation_id string")
+    for bad in (some("i1", "i1"), some("i2"), some("unknown")):
+        with pytest.raises(ValueError):
+            maintenance.skip_late(ledger, bad, now)
+    maintenance.skip_late(ledger, some("i1"), now)
+    assert ledger.read("events").where("event_type = 'EVIDENCE_SKIPPED'").count() == 1
+    assert reconcile.reconcile(ledger, tracked, "r2", now)["generation"] == 3 and ledger.read("occurrences").count() == 2
+
+    # pruning: the mark never goes back, started runs hold their inputs
+    assert maintenance.prune_raw(ledger, day(4))["raw_pruned_before"] == "2024-01-04T00:00:00"
+    assert [r.invocation_id for r in ledger.read("executions").collect()] == ["i4"] and ledger.read("observations").count() == 1
+    assert maintenance.prune_raw(ledger, day(2))["raw_pruned_before"] == "2024-01-04T00:00:00"
+    maintenance.keep_since(ledger, {"events": ("event_at", day(4)), "runs": ("started_at", datetime(2024, 3, 1))})
+    assert ledger.read("runs").isEmpty() and {r.event_type for r in ledger.read("events").collect()} == {"REAPPEARED", "EVIDENCE_SKIPPED"}
+
+    # schema: verified, migrated once, and started over
+    ledger.verify(reconcile.TABLES, reconcile.KEYS)
+    step = Migration("one", {"occurrences": {"area": "string"}}, {("occurrences", "area"): F.concat(F.lit("a-"), "check_id")}, lambda t: apply.require_none(t["occurrences"].where("area is null"), "no area"))
+    assert ledger.migrate([step]) == ["one"] and ledger.migrate([step]) == []
+    assert {r.area for r in ledger.read("occurrences").collect()} == {"a-c"}
+    failing = Migration("two", {"events": {"x": "int"}}, {}, lambda t: apply.require_none(t["events"], "not yet"))
+    with pytest.raises(ValueError):
+        ledger.migrate([failing])
+    assert ledger.manifest()["migrations"] == ["one"]
+    before = ledger.views("my_")
+    assert spark.sql("select count(*) from my_occurrences").first()[0] == 2
+    after = ledger.refresh(reconcile.TABLES)
+    assert ledger.read("occurrences").isEmpty() and after["installation_id"] != before["installation_id"]
+    frames, manifest = ledger.snapshot("occurrences")
+    assert frames["occurrences"].isEmpty() and manifest["generation"] == after["generation"]
+    with pytest.raises(RuntimeError):
+        ledger.verify({"other": "x int"}, {})
+
+
+def test_seeds_and_metrics(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("id,amount\na,1.50\nb,\n")
+    assert [tuple(map(str, r)) for r in read_seed(spark, str(tmp_path / "s.csv"), "id string, amount decimal(18,2)").collect()] == [("a", "1.50"), ("b", "None")]
+    maintenance.write_metrics({"b": 1, "a": datetime(2024, 1, 1)}, str(tmp_path / "m.json"))
+    assert (tmp_path / "m.json").read_text() == '{\n "a": "2024-01-01 00:00:00",\n "b": 1\n}\n'
+
+
 def test_invariants_show_planted_violations(spark):
     row = ("o", "c", "i", None, "Active")
     rows = spark.createDataFrame([row, row], "occurrence_id string, check_id string, identity string, scheme string, record_status string")

@@ -313,3 +313,25 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """docs without the documents that a smaller id of their group stands for."""
     gone = keep(near_groups(docs, text, doc_id, percent).where("not kept").select(id_key(F.col("doc_id")).alias("_gone")).distinct(), "near-gone")
     return docs.join(gone, id_key(docs[doc_id]) == gone["_gone"], "left_anti")
+
+
+#: The same groups in DuckDB, from all pairs of texts that share a shingle and without buckets.
+ORACLE_SQL = r"""
+with recursive word as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents),
+shingle as (
+    select distinct doc_id, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) as s
+    from word where len(w) > 0),
+sized as (select doc_id, count(*) as n from shingle group by doc_id),
+shared as (select a.doc_id as u, b.doc_id as v, count(*) as i from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (
+    select u, v from shared join sized x on x.doc_id = u join sized y on y.doc_id = v where 100 * i >= 85 * (x.n + y.n - i)),
+edge as (select u, v from link union all select v, u from link),
+reach(node, least) as (
+    select u, v from edge
+    union
+    select e.v, r.least from reach r join edge e on e.u = r.node where r.least < e.v)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id, coalesce(m, d.doc_id) >= d.doc_id as kept
+from documents d left join sized using (doc_id) left join (select node, min(least) as m from reach group by node) r on r.node = d.doc_id
+"""

@@ -104,4 +104,7 @@ select doc_id, count(*) as n_lines, cast(count(*) filter (gone) as bigint) as n_
 from marked group by doc_id
 """,
     "op5_decontamination": decontam.ORACLE_SQL,
+    "op6_suffix_dedup": suffixes.ORACLE_SQL,
+    "op7_minhash_dedup": minhash.ORACLE_SQL,
+    "op10_secret_scan": secretscan.ORACLE_SQL,
 }

@@ -156,3 +156,41 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     return scan(docs.select("doc_id", "text", "source")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_live", "n_examples"
     )
+
+
+_ASSIGN_SQL = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _found_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    """Matches of a kind and their values; a place follows from the lengths of what lies before."""
+    return f"""
+    select doc_id, source, {kind} as kind, i, m, v, gaps, lens from (
+        select doc_id, source, unnest(regexp_extract_all(t, '{pattern}')) as m, unnest(regexp_extract_all(t, '{pattern}', {group})) as v,
+            unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) as i,
+            list_transform(regexp_split_to_array(t, '{pattern}'), lambda x: length(x)) as gaps,
+            list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) as lens
+        from doc) where length(v) >= {least}"""
+
+
+#: The same in DuckDB.
+ORACLE_SQL = f"""
+with doc as (select doc_id, source, coalesce(text, '') as t from documents),
+hit as ({_found_sql(0, _ASSIGN_SQL, 2, 8)}
+    union all {_found_sql(1, 'AKIA[A-Z0-9]+', 0, 16)}
+    union all {_found_sql(2, '[0-9a-f]+', 0, 32)}),
+span as (
+    select *, s + length(m) as e from (
+        select doc_id, source, kind, m, v, cast(list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i - 1]), 0) as bigint) as s from hit)),
+owned as (select v, count(distinct source) + cast(bool_or(source is null) as integer) as n from span group by v),
+verdict as (select distinct doc_id, e - length(v) as s, case when n >= 3 then 4 else 3 end as kind, e, v from span join owned using (v)),
+whole as (select doc_id, s, kind, e from span union select doc_id, s, kind, e from verdict),
+named as (
+    select doc_id, string_agg(['assign', 'access', 'hex', 'live', 'example'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind, e) as spans from whole group by doc_id),
+base as (
+    select doc_id, count(*) filter (kind = 0) as a, count(*) filter (kind = 1) as b, count(*) filter (kind = 2) as c,
+        string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind) as spans from span group by doc_id),
+judged as (select doc_id, count(*) filter (kind = 3) as n_live, count(*) filter (kind = 4) as n_examples from verdict group by doc_id)
+select d.doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, sha256(coalesce(base.spans, '')) as base_sha256,
+    coalesce(named.spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_examples, 0) as n_examples
+from documents d left join base using (doc_id) left join named using (doc_id) left join judged using (doc_id)
+"""

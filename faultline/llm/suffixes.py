@@ -309,3 +309,25 @@ def repeat_digest(docs: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: The same in DuckDB, from all 200-byte strings and without parsing.
+ORACLE_SQL = """
+with raw as (select doc_id, encode(coalesce(text, '')) as b from documents),
+placed as (select doc_id, s, md5(b[s:s + 199]) as h from (select doc_id, b, unnest(range(1, octet_length(b) - 198)) as s from raw)),
+many as (select h from placed group by h having count(*) > 1),
+hit as (select doc_id, s, s > 200 + lag(s, 1, -1000) over (partition by doc_id order by s) as opens from placed join many using (h)),
+run as (
+    select doc_id, min(s) as a, max(s) + 200 as z
+    from (select doc_id, s, sum(cast(opens as integer)) over (partition by doc_id order by s) as r from hit) group by doc_id, r),
+piece as (
+    select doc_id, lag(z, 1, 1) over (partition by doc_id order by a) as p, a as q from run
+    union all select doc_id, max(z), null from run group by doc_id),
+kept as (
+    select doc_id, string_agg(hex(b[p:coalesce(q - 1, octet_length(b))]), '' order by p) as x
+    from piece join raw using (doc_id) where p < coalesce(q, octet_length(b) + 1) group by doc_id),
+gone as (select doc_id, sum(z - a) as n, count(*) as k from run group by doc_id)
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(k, 0) as n_spans,
+    case when k is null then sha256(b) else sha256(unhex(coalesce(x, ''))) end as kept_sha256
+from raw left join gone using (doc_id) left join kept using (doc_id)
+"""

@@ -22,13 +22,15 @@ def collect(
     invocation_id: str,
     captured_at: Column,
     reported: int | None = None,
+    project_owner: str | None = None,
     empty_source: bool = False,
 ) -> str:
     """The collection status of one run of a check, recorded with its observations.
 
     reported: how many failures the runner counted; a staged copy that differs is a
     collection error, and then nothing of it counts as observed.  A check that can't
-    be tracked is a configuration error, and its rows are not read.
+    be tracked is a configuration error, and its rows are not read.  The owner is the
+    row's, else the check's, else the project's.
     """
     spark = ledger.spark
     rows = check.failing(spark)
@@ -38,7 +40,7 @@ def collect(
     if not problems:
         grain = grain_of(check.grain)
         staged = kept(capture.bounded_sample(rows, grain, check.limit), "staged")
-        found = kept(capture.observations(staged, capture.row_owner(staged, check.owner_column), owner_text(check.owner)), "observed")
+        found = kept(capture.observations(staged, capture.row_owner(staged, check.owner_column), owner_text(check.owner) or owner_text(project_owner)), "observed")
         stats = capture.capture_stats(found).first()
         raw = staged.count()
         limit = F.lit(check.limit).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.scalars import formula_guarded
@@ -10,15 +10,27 @@ from faultline.functions.scalars import formula_guarded
 MAX_ROWS = 50_000
 
 
+def record() -> Column:
+    """The payload's top-level fields; a name that is there twice is an error.
+
+    Capture writes every value as text, so it comes back unchanged; a bare number of
+    other origin is shown as Spark prints it.
+    """
+    names = F.json_object_keys("payload")
+    once = F.size(names) == F.size(F.array_distinct(names))
+    failed = F.raise_error(F.concat(F.lit("a record has a field twice: "), "occurrence_id")).cast("map<string,string>")
+    return F.when(F.coalesce(once, F.lit(True)), F.from_json("payload", "map<string,string>")).otherwise(failed)
+
+
 def record_fields(issues: DataFrame) -> DataFrame:
     """(occurrence_id, field, value): the top-level fields of each payload as text."""
-    parsed = F.from_json("payload", "map<string,string>")
+    parsed = record()
     return issues.select("occurrence_id", F.explode(parsed).alias("field", "value"))
 
 
 def expanded(issues: DataFrame, fields: list[str]) -> DataFrame:
     """issues with the named payload fields as columns ``record.<field>``; one scan, no pivot."""
-    parsed = F.from_json("payload", "map<string,string>")
+    parsed = record()
     return issues.withColumn("_p", parsed).select(*issues.columns, *[F.element_at("_p", F.lit(f)).alias(f"record.{f}") for f in fields])
 
 

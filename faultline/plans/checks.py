@@ -63,6 +63,7 @@ class Check:
             found.append("failures must be stored as a table")
         if {"owner", self.owner_column} & self.settings.keys():
             found.append("the owner belongs to the check, not to its settings")
+        found += [f"unknown setting {k!r}" for k in sorted(self.settings.keys() - {"fail_calc", "storage", "owner", self.owner_column})]
         try:
             owner_text(self.owner)
         except ValueError as error:

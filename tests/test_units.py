@@ -88,6 +88,7 @@ def test_checks(spark):
         "grain": Check("x", "", ()), "repeat": Check("x", "", ("a", " A")), "missing": Check("x", "", ("b",)), "priority": Check("x", "", ("a",), priority="huge"),
         "limit": Check("x", "", ("a",), limit=0), "calc": Check("x", "", ("a",), settings={"fail_calc": "sum(x)"}), "view": Check("x", "", ("a",), settings={"storage": "view"}),
         "key": Check("x", "", ("a",), settings={"owner": "z"}), "owner": Check("x", "", ("a",), owner=[1]), "criticality": Check("x", "", ("a",), criticality=3),
+        "unknown": Check("x", "", ("a",), settings={"old": 1}),
     }
     assert all(c.problems(["a"]) for c in bad.values())
     registry = Registry([good, Check("c2", "select 2 as id", ("id",))])
@@ -165,7 +166,7 @@ def test_collect_reconcile_and_review(spark, tmp_path):
     made = lambda rows, **more: Check("c", lambda s: s.createDataFrame(rows, "id string, v int, Row_Owner string"), ("id",), name="C", owner="team", call_to_action="look", **more)
     at = lambda n: F.expr(f"timestamp_ntz '2024-01-0{n} 00:00:00'")
     assert collect.collect(ledger, made([("A", 1, None), ("a", 2, "x"), ("b", 1, " y ")]), "i1", at(1)) == "success"
-    assert collect.collect(ledger, made([("a", 1, None)]), "i2", at(2), reported=5) == "collection_error"
+    assert collect.collect(ledger, made([("a", 1, None)]), "i2", at(2), reported=5, project_owner="p") == "collection_error"
     assert collect.collect(ledger, Check("bad", "select 1 as v", ("id",)), "i1", at(1)) == "configuration_error"
     assert ledger.read("observations").where("invocation_id = 'i2'").isEmpty() and ledger.read("executions").count() == 3
     tracked = spark.createDataFrame([("c",)], "check_id string")
@@ -391,6 +392,10 @@ def test_exports(spark, tmp_path):
     issues = spark.createDataFrame([("o", "=1", '{"a":"12345678901234567890.10","b":null}', datetime(2024, 1, 1))], "occurrence_id string, owner string, payload string, first_seen_at timestamp_ntz")
     assert export.field_names(issues) == ["a", "b"]
     assert export.expanded(issues, ["a", "b"]).first()["record.a"] == "12345678901234567890.10"
+    numbers = issues.withColumn("payload", F.lit('{"a":1.5,"b":{"c":[1]}}'))
+    assert list(export.expanded(numbers, ["a", "b"]).select("`record.a`", "`record.b`").first()) == ["1.5", '{"c":[1]}']
+    with pytest.raises(Exception, match="twice"):
+        export.expanded(issues.withColumn("payload", F.lit('{"a":"1","a":"2"}')), ["a"]).collect()
     out = tmp_path / "x.csv"
     assert export.write_csv(export.csv_rows(issues, ["occurrence_id", "owner"]), str(out)) == 1
     assert out.read_bytes().startswith(b"\xef\xbb\xbf") and "'=1" in out.read_text("utf-8-sig")

@@ -73,10 +73,32 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEAN, before)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables kept inside are removed at its end, but for those that stay.
+
+    What is used later must not be read from the others: keep it, with ``stays``.
+    """
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def keep(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write df to a scratch table and read it back: a recoverable cut in the lineage."""
     spark = tune(df.sparkSession)
     path = scratch_path(spark, name)
+    if len(_scopes) > stays:  # what stays belongs to the scope around
+        _scopes[-1 - stays].append(path)
     with shuffles_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm._common import NULL_ID, UPPER, id_key, keep
+from faultline.llm._common import NULL_ID, UPPER, id_key, keep, passing
 from faultline.llm.components import components
 
 WORDS, BINS, ROWS = 5, 192, 6
@@ -281,23 +281,25 @@ def links(classes: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
     keyed = docs.select(id_key(F.col(doc_id)).alias("_d"), F.col(text).cast("binary").alias("_t"))
-    signed = keep(keyed.mapInArrow(_signatures, "_d long, n long, f1 long, f2 long, bands array<long>"), "near-signatures")
-    classes = keep(
-        signed.where("n > 0").groupBy("f1", "f2").agg(F.min("_d").alias("rep"), F.first("bands").alias("bands")), "near-classes"
-    )
-    found = links(classes, keyed, percent)
-    # an id with several texts links their classes
-    repeated = signed.groupBy("_d").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_d")
-    several = (
-        signed.where("n > 0").join(repeated, "_d").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("_d").alias("u"), F.col("rep").alias("v"))
-    )
-    labels = components(found.unionByName(several))
-    named = keep(
-        classes.select("f1", "f2", "rep")
-        .join(labels, classes["rep"] == labels["node"], "left")
-        .select("f1", "f2", F.coalesce("component", "rep").alias("component")),
-        "near-named",
-    )
+    with passing(docs.sparkSession):
+        signed = keep(keyed.mapInArrow(_signatures, "_d long, n long, f1 long, f2 long, bands array<long>"), "near-signatures", stays=True)
+        classes = keep(
+            signed.where("n > 0").groupBy("f1", "f2").agg(F.min("_d").alias("rep"), F.first("bands").alias("bands")), "near-classes"
+        )
+        found = links(classes, keyed, percent)
+        # an id with several texts links their classes
+        repeated = signed.groupBy("_d").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_d")
+        several = (
+            signed.where("n > 0").join(repeated, "_d").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("_d").alias("u"), F.col("rep").alias("v"))
+        )
+        labels = components(found.unionByName(several))
+        named = keep(
+            classes.select("f1", "f2", "rep")
+            .join(labels, classes["rep"] == labels["node"], "left")
+            .select("f1", "f2", F.coalesce("component", "rep").alias("component")),
+            "near-named",
+            stays=True,
+        )
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_d"))
     back = lambda c: F.when(c != NULL_ID, c)
     return (
@@ -311,7 +313,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 85) -> DataFrame:
     """docs without the documents that a smaller id of their group stands for."""
-    gone = keep(near_groups(docs, text, doc_id, percent).where("not kept").select(id_key(F.col("doc_id")).alias("_gone")).distinct(), "near-gone")
+    with passing(docs.sparkSession):
+        groups = near_groups(docs, text, doc_id, percent).where("not kept")
+        gone = keep(groups.select(id_key(F.col("doc_id")).alias("_gone")).distinct(), "near-gone", stays=True)
     return docs.join(gone, id_key(docs[doc_id]) == gone["_gone"], "left_anti")
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm._common import NULL_ID, keep, row_key
+from faultline.llm._common import NULL_ID, keep, passing, row_key
 
 LENGTH, LOOK, RUN = 200, 128, 8
 _GRAM = 8
@@ -291,7 +291,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, kept, spans): each text's remaining bytes and the runs that went."""
-    marks = keep(repeated_starts(docs, text, doc_id), "suffix-spans")
+    with passing(docs.sparkSession):
+        marks = keep(repeated_starts(docs, text, doc_id), "suffix-spans", stays=True)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     keyed = docs.select(*row_key(F.col(doc_id), F.col(text)), raw.alias("_t"))
     met = keyed.join(marks, ["_d", "_h"], "left")

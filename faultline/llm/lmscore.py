@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,8 @@ MU = 100.0
 #: The hash of the end of a document, which no word has by intent.
 END = np.uint64(1)
 _FLUSH = 1 << 19
+#: So many texts, of so many bytes in all, are taken apart at a time.
+_ROWS, _BYTES = 512, 4 << 20
 #: Bits of the map of keys, by the upper bits of a key, and the part of it that one task makes.
 FILTER_BITS, _SLICE_BITS = 28, 22
 
@@ -95,6 +98,13 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return ordered[starts], *(np.add.reduceat(c[order], starts) if len(keys) else c for c in counts)
 
 
+def portioned(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of bounded text, so that memory follows the part."""
+    for batch in batches:
+        for first, end in words.portions(pc.binary_length(batch.columns[text]).to_pylist(), _ROWS, _BYTES):
+            yield batch.slice(first, end - first)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n, m): words and bigrams counted in all documents and in the target's, by about ``_FLUSH`` keys at a time."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -104,7 +114,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["key", "n", "m"])
 
-    for batch in batches:
+    for batch in portioned(batches, 1):
         target, texts = batch.columns
         row, a, b = bigrams(texts.to_pylist())
         good = np.array(target.to_pylist(), bool)[row].astype(np.int64)
@@ -238,7 +248,7 @@ def score(
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each document its head with the sum of what is known, and a row for each key that it asks for."""
-        for batch in batches:
+        for batch in portioned(batches, 4):
             rows, ids, held, target, texts = batch.columns
             right = np.array(target.to_pylist(), np.int64)
             steps, total, (text, key, own) = weighed(texts.to_pylist(), right, shared.value, bits.value, delta)

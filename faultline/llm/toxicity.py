@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +46,8 @@ _BLOCK, _FIRST = 64, 2
 _PRIOR_WEIGHT = 0.1
 #: Words in one of so many examples or more are dense rows of the index, up to the first number of them.
 _DENSE, _COMMON = 512, 64
-#: Cosines of so many texts are held at a time.
-_TEXTS = 256
+#: Cosines of so many texts, of so many bytes in all, are held at a time.
+_TEXTS, _BYTES = 256, 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -295,8 +296,8 @@ def score(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for whole in batches:
-            for first in range(0, whole.num_rows, _TEXTS):
-                ids, held, texts = whole.slice(first, _TEXTS).columns
+            for first, end in words.portions(pc.binary_length(whole.columns[2]).to_pylist(), _TEXTS, _BYTES):
+                ids, held, texts = whole.slice(first, end - first).columns
                 cosines, _ = index.cosines(len(ids), *batch_terms(texts.to_pylist()))
                 judged = [index.judge(c) for c in cosines]
                 scores = [s for s, _ in judged]

@@ -65,6 +65,19 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
+def portions(lengths: list[int | None], rows: int, chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of so many rows and characters at most; one longer text is a range of its own."""
+    first, held = 0, 0
+    for i, n in enumerate(lengths):
+        n = n or 0
+        if i > first and (i - first >= rows or held + n > chars):
+            yield first, i
+            first, held = i, 0
+        held += n
+    if len(lengths) > first:
+        yield first, len(lengths)
+
+
 def cut(texts: list[str | None], table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(place of the text, hash) of every word of every text, in the order of the texts."""
     rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]

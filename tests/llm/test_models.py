@@ -251,3 +251,10 @@ def test_masks_are_lossless():
 
     for gone in combinations(range(13), 2):
         assert any(all(s + m not in gone for m in mask) for mask in decontam.MASKS for s in range(13 - mask[-1]))
+
+
+def test_portions_of_texts():
+    from faultline.llm import words
+
+    assert list(words.portions([3, None, 4, 100, 1, 1, 1], 3, 10)) == [(0, 3), (3, 4), (4, 7)]
+    assert list(words.portions([], 3, 10)) == [] and list(words.portions([1] * 5, 2, 10)) == [(0, 2), (2, 4), (4, 5)]

@@ -8,8 +8,9 @@ Inputs (pure DataFrames):
 
 Every candidate meets the executions of its check.  A state counts as failing if
 the execution observed the candidate; an execution that hit its limit says
-nothing about candidates that it did not observe.  All windows and the rollup
-share the partition (check, identity, scheme): one exchange.
+nothing about candidates that it did not observe.  All windows, rollups and joins
+share the partition (check, identity): one exchange of what was observed, and the
+states that candidates make with executions are neither shuffled nor sorted.
 
 A scheme may be null, and null meets null: joins, windows and rollups use
 ``SCHEME_KEY``, a text that tells a null from every scheme.
@@ -27,6 +28,8 @@ KEY = ["check_id", "identity", "scheme"]
 SCHEME_KEY = "_scheme"
 #: KEY with a scheme that is never null, so that plain equality is null-safe.
 MATCH = ["check_id", "identity", SCHEME_KEY]
+#: What all of a replay is partitioned by: a record under whatever scheme.
+RECORD = ["check_id", "identity"]
 OCCURRENCE = (
     "occurrence_id string, check_id string, identity string, scheme string, number int, payload string, row_count long, tags string,"
     " priority string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, archived_at timestamp_ntz, record_status string,"
@@ -57,39 +60,83 @@ def candidates(observations: DataFrame, active: DataFrame) -> DataFrame:
     return observations.select(*KEY).unionByName(active.select(*KEY)).distinct()
 
 
-def states(executions: DataFrame, observations: DataFrame, history: DataFrame) -> DataFrame:
-    """One row per candidate and execution, with what came before it."""
-    active = history.where("record_status = 'Active'")
-    prior = keyed(active).select(
-        *MATCH,
-        F.col("occurrence_id").alias("open_id"),
-        F.col("payload").alias("open_payload"),
+def _ranked(executions: DataFrame) -> DataFrame:
+    """The executions of each check in order: at, counted from 1, and how many that speak of what they did not observe come before it and up to it."""
+    order = Window.partitionBy("check_id").orderBy("captured_at", "invocation_id")
+    speaks = F.coalesce(F.col("status") != "limit_reached", F.lit(False))
+    upto = F.sum(speaks.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return (
+        executions.select(
+            "check_id", "invocation_id", "captured_at", "status", F.col("scheme").alias("run_scheme"), "priority", "tags",
+            *[_text(executions, c) for c in RUN_TEXTS], F.row_number().over(order).alias("at"), upto.alias("n_upto"),
+            speaks.alias("speaks"), (upto - speaks.cast("int")).alias("n_before"),
+        )
     )
-    runs = executions.select("check_id", "invocation_id", "captured_at", "status", F.col("scheme").alias("run_scheme"), "priority", "tags", *[_text(executions, c) for c in RUN_TEXTS])
-    seen = keyed(observations).select(*MATCH, "invocation_id", "payload", "row_count", "owner", _text(observations, "call_to_action"), F.lit(True).alias("failing"))
-    matrix = (
-        keyed(candidates(observations, active))
-        .join(runs, "check_id")
-        .join(seen, [*MATCH, "invocation_id"], "left")
-        .withColumn("failing", F.coalesce("failing", F.lit(False)))
-        .where("failing or status <> 'limit_reached'")
-        .join(prior, MATCH, "left")
+
+
+def states(executions: DataFrame, observations: DataFrame, history: DataFrame, only_considered: bool = False) -> DataFrame:
+    """One row per candidate and execution, with what came before it; only_considered: considered() of them, without making the others.
+
+    Only observations and open occurrences are shuffled and sorted, once and by RECORD.
+    The executions of a batch are broadcast; a candidate's states between two
+    observations are known from their places among the executions of its check.
+    """
+    runs = _ranked(executions)
+    place = ("at", "n_before", "n_upto")
+    quiet = runs.groupBy("check_id").agg(F.array_sort(F.collect_list(F.when(F.col("speaks"), F.col("at")))).alias("quiet"))
+    seen = (
+        keyed(observations)
+        .join(F.broadcast(runs.select("check_id", "invocation_id", *place)), ["check_id", "invocation_id"], "left")
+        .select(*MATCH, *[F.coalesce(c, F.lit(0)).alias(c) for c in place], "payload", "row_count", "owner", _text(observations, "call_to_action"), F.lit(None).cast("string").alias("opened"))
     )
-    w = Window.partitionBy(*MATCH).orderBy("captured_at", "invocation_id")
-    first = F.row_number().over(w) == 1
+    prior = keyed(history.where("record_status = 'Active'")).select(
+        *MATCH, *[F.lit(0).alias(c) for c in place], "payload", F.lit(None).cast("long").alias("row_count"),
+        *[F.lit(None).cast("string").alias(c) for c in ("owner", "call_to_action")], F.col("occurrence_id").alias("opened"),
+    )
+    w = Window.partitionBy(*MATCH).orderBy("at", "opened")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    fails = (F.col("at") > 0) | F.col("opened").isNotNull()
+    # nothing that speaks lies between this observation and the failure before it
+    goes_on = F.coalesce(F.lag(fails).over(w) & (F.lag("n_upto").over(w) >= F.col("n_before")), F.lit(False))
+    known = lambda c: F.last(F.when(F.col("opened").isNotNull(), F.col(c)), True).over(so_far)
+    marked = (
+        seen.unionByName(prior)
+        .repartition(*RECORD)
+        .select(
+            "*", fails.alias("fails"), goes_on.alias("goes_on"), F.lag("payload").over(w).alias("before"), (F.row_number().over(w) == 1).alias("is_first"),
+            F.lead("n_before").over(w).alias("next_before"), known("opened").alias("open_id"), known("payload").alias("open_payload"),
+        )
+        .withColumn("episode", F.sum(((F.col("at") > 0) & ~F.col("goes_on")).cast("int")).over(so_far).cast("int"))
+        .join(F.broadcast(quiet), "check_id")
+    )
+    state = lambda at, failing, was: F.struct(at.alias("at"), failing.alias("failing"), was.alias("was_failing"))
+    no, none = F.lit(False), F.array().cast("array<struct<at:int,failing:boolean,was_failing:boolean>>")
+    own = F.when(F.col("at") > 0, F.array(state(F.col("at"), F.lit(True), F.col("goes_on")))).otherwise(none)
+    absences = F.greatest(F.coalesce("next_before", F.size("quiet")) - F.col("n_upto"), F.lit(0))
+    if only_considered:
+        made = F.concat(own, F.when(F.col("fails") & (absences > 0), F.array(state(F.get("quiet", F.col("n_upto")), no, F.lit(True)))).otherwise(none))
+    else:
+        later = F.transform(F.slice("quiet", F.col("n_upto") + 1, absences), lambda at, i: state(at, no, F.col("fails") & (i == 0)))
+        sooner = F.when(F.col("is_first"), F.transform(F.slice("quiet", F.lit(1), F.col("n_before")), lambda at: state(at, no, no))).otherwise(none)
+        made = F.concat(sooner, own, later)
+    failing = F.col("failing")
+    while_failing = lambda c: F.when(failing, F.col(c)).alias(c)
     return (
-        matrix.withColumn("was_failing", F.when(first, F.col("open_id").isNotNull()).otherwise(F.lag("failing").over(w)))
-        .withColumn("was_payload", F.when(first, F.col("open_payload")).otherwise(F.lag("payload").over(w)))
-        .withColumn("starts", F.col("failing") & ~F.col("was_failing"))
-        .withColumn("episode", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+        marked.select(*MATCH, F.col("at").alias("observed_at"), "payload", "row_count", "owner", "call_to_action", "before", "open_id", "open_payload", "episode", F.inline(made))
+        .join(F.broadcast(runs.drop("n_upto", "n_before", "speaks")), ["check_id", "at"])
+        .select(
+            *MATCH, scheme_of(), "invocation_id", "captured_at", "status", "run_scheme", "priority", "tags", *RUN_TEXTS,
+            *[while_failing(c) for c in ("payload", "row_count", "owner", "call_to_action")], "failing", "open_id", "open_payload", "was_failing",
+            F.when(F.col("was_failing"), F.when(failing, F.col("before")).otherwise(F.col("payload"))).alias("was_payload"),
+            (failing & ~F.col("was_failing")).alias("starts"),
+            F.when(F.col("at") < F.col("observed_at"), 0).otherwise(F.col("episode")).alias("episode"),
+        )
     )
 
 
 def considered(state: DataFrame) -> DataFrame:
     """States that belong to an episode, up to its first absence."""
-    w = Window.partitionBy(*MATCH, "episode").orderBy("captured_at", "invocation_id")
-    gone = F.sum((~F.col("failing")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return state.where("episode > 0 or open_id is not null").withColumn("_gone", F.coalesce(gone, F.lit(0))).where("_gone = 0").drop("_gone")
+    return state.where("failing or was_failing")
 
 
 def episodes(state: DataFrame) -> DataFrame:
@@ -113,19 +160,19 @@ def episodes(state: DataFrame) -> DataFrame:
 
 def occurrences(state: DataFrame, history: DataFrame) -> DataFrame:
     """The new and changed occurrences that the states make of the history."""
-    active = keyed(history.where("record_status = 'Active'")).select(
-        *MATCH, *[F.col(c).alias(f"open_{c}") for c in _COLUMNS if c not in KEY]
+    open_ = F.struct(SCHEME_KEY, *[c for c in _COLUMNS if c not in KEY])
+    past = keyed(history).groupBy(*RECORD).agg(
+        F.max("number").alias("highest"), F.collect_list(F.when(F.col("record_status") == "Active", open_)).alias("open")
     )
-    highest = history.groupBy("check_id", "identity").agg(F.max("number").alias("highest"))
     met = (
         episodes(state)
-        .join(active, MATCH, "left")
-        .join(highest, ["check_id", "identity"], "left")
+        .join(past, RECORD, "left")
+        .withColumn("open", F.get(F.filter("open", lambda o: o[SCHEME_KEY] == F.col(SCHEME_KEY)), F.lit(0)))
     )
     old = F.col("episode") == 0
-    kept = lambda c, new: F.when(old, F.col(f"open_{c}")).otherwise(new)
-    last = lambda c, field: F.when(old, F.coalesce(F.col("last")[field], F.col(f"open_{c}"))).otherwise(F.col("last")[field])
-    first = lambda c: F.coalesce(F.col("first")[c], F.col(f"open_{c}")).alias(c)
+    kept = lambda c, new: F.when(old, F.col("open")[c]).otherwise(new)
+    last = lambda c, field: F.when(old, F.coalesce(F.col("last")[field], F.col("open")[c])).otherwise(F.col("last")[field])
+    first = lambda c: F.coalesce(F.col("first")[c], F.col("open")[c]).alias(c)
     null = F.lit(None).cast("string")
     closed = F.col("absence").isNotNull()
     same = F.col("scheme") == F.col("absence.run_scheme")  # a null scheme is never known to be the same
@@ -165,11 +212,20 @@ def occurrences(state: DataFrame, history: DataFrame) -> DataFrame:
 
 def lifecycle_events(state: DataFrame, changed: DataFrame, history: DataFrame, still_failing: bool = False) -> DataFrame:
     """One immutable event for each change of state.  ``changed`` comes from occurrences()."""
-    own = keyed(changed).select(*MATCH, "episode", "occurrence_id", "number", F.col("close_reason").alias("own_reason"))
-    closings = keyed(history).select(*MATCH, "number", "close_reason", F.lit(1).alias("late")).unionByName(
-        keyed(changed).select(*MATCH, "number", "close_reason", F.lit(2).alias("late"))
+    closings = keyed(history).select(
+        *MATCH, "number", "close_reason", F.lit(1).alias("late"), F.lit(None).cast("int").alias("episode"), F.lit(None).cast("string").alias("occurrence_id")
+    ).unionByName(keyed(changed).select(*MATCH, "number", "close_reason", F.lit(2).alias("late"), "episode", "occurrence_id"))
+    before = Window.partitionBy(*MATCH).orderBy("number").rangeBetween(-1, -1)
+    one = F.struct("occurrence_id", F.col("close_reason").alias("own_reason"), "closed_before")
+    own = (
+        closings.repartition(*RECORD)
+        .withColumn("closed_before", F.max_by("close_reason", "late").over(before))
+        .where("late = 2")
+        .groupBy(*MATCH)
+        .agg(F.map_from_entries(F.collect_list(F.struct("episode", one))).alias("own"))
+        .groupBy(*RECORD)
+        .agg(F.map_from_entries(F.collect_list(F.struct(SCHEME_KEY, "own"))).alias("own"))
     )
-    before = closings.groupBy(*MATCH, (F.col("number") + 1).alias("number")).agg(F.max_by("close_reason", "late").alias("closed_before"))
     ends = ~F.col("failing") & F.col("was_failing")
     kind = (
         F.when(F.col("starts"), F.when(F.col("closed_before") == "Passed", "REAPPEARED").otherwise("APPEARED"))
@@ -179,8 +235,10 @@ def lifecycle_events(state: DataFrame, changed: DataFrame, history: DataFrame, s
     kind = kind.when(F.col("failing"), "STILL_FAILING") if still_failing else kind
     return (
         considered(state)
-        .join(own, [*MATCH, "episode"])
-        .join(before, [*MATCH, "number"], "left")
+        .join(own, RECORD)
+        .withColumn("own", F.try_element_at(F.try_element_at("own", F.col(SCHEME_KEY)), F.col("episode")))
+        .where("own is not null")
+        .select("*", "own.*")
         .withColumn("event_type", kind)
         .where("event_type is not null")
         .select(

@@ -144,9 +144,13 @@ class Lab:
     def first_states(self) -> DataFrame:
         return replay.states(*self.batch(1, 15), self.nothing)
 
+    @cached_property
+    def first_considered(self) -> DataFrame:
+        return replay.states(*self.batch(1, 15), self.nothing, only_considered=True)
+
     @cached_property
     def first_changes(self) -> DataFrame:
-        return kept(replay.occurrences(self.first_states, self.nothing), "first-changes")
+        return kept(replay.occurrences(self.first_considered, self.nothing), "first-changes")
 
     @cached_property
     def reviewed(self) -> DataFrame:
@@ -156,9 +160,13 @@ class Lab:
     def second_states(self) -> DataFrame:
         return replay.states(*self.batch(16, 28), self.reviewed)
 
+    @cached_property
+    def second_considered(self) -> DataFrame:
+        return replay.states(*self.batch(16, 28), self.reviewed, only_considered=True)
+
     @cached_property
     def second_changes(self) -> DataFrame:
-        return kept(replay.occurrences(self.second_states, self.reviewed), "changes")
+        return kept(replay.occurrences(self.second_considered, self.reviewed), "changes")
 
     @cached_property
     def occurrences(self) -> DataFrame:
@@ -166,15 +174,21 @@ class Lab:
 
     @cached_property
     def first_events(self) -> DataFrame:
-        return replay.lifecycle_events(self.first_states, self.first_changes, self.nothing)
+        return replay.lifecycle_events(self.first_considered, self.first_changes, self.nothing)
 
     @cached_property
     def second_events(self) -> DataFrame:
-        return replay.lifecycle_events(self.second_states, self.second_changes, self.reviewed)
+        return replay.lifecycle_events(self.second_considered, self.second_changes, self.reviewed)
+
+    @cached_property
+    def stored_events(self) -> tuple[DataFrame, DataFrame]:
+        """The events of both batches, each made once."""
+        return kept(self.first_events, "first-events"), kept(self.second_events, "second-events")
 
     @cached_property
     def events(self) -> DataFrame:
-        return kept(self.first_events.unionByName(self.second_events), "events")
+        first, second = self.stored_events
+        return first.unionByName(second)
 
     @cached_property
     def missed(self) -> DataFrame:

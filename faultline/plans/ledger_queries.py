@@ -108,7 +108,7 @@ def replay_states(lab: Lab) -> DataFrame:
 @query(L.ledger(f"select check_id, identity, scheme, episode, n_failing, f.inv as first_invocation, l.inv as last_invocation, {L.shown('a.at')} as absent_at from r1_r"))
 def replay_episodes(lab: Lab) -> DataFrame:
     absent = F.date_format("absence.captured_at", "yyyy-MM-dd HH:mm:ss").alias("absent_at")
-    return replay.episodes(lab.first_states).select(
+    return replay.episodes(lab.first_considered).select(
         "check_id", "identity", "scheme", "episode", "n_failing",
         F.col("first.invocation_id").alias("first_invocation"), F.col("last.invocation_id").alias("last_invocation"), absent,
     )
@@ -116,7 +116,7 @@ def replay_episodes(lab: Lab) -> DataFrame:
 
 @query(L.ledger(f"select {_WHOLE} from r2_occ"))
 def replay_occurrences(lab: Lab) -> DataFrame:
-    return whole(replay.occurrences(lab.second_states, lab.reviewed))
+    return whole(replay.occurrences(lab.second_considered, lab.reviewed))
 
 
 @query(L.ledger("select s.check_id, count(*) as states, count(*) filter (failing) as failing_states, count(distinct s.identity) as identities from r2_st s join execs e on e.check_id = s.check_id and e.invocation_id = s.invocation_id where e.status = 'limit_reached' group by all"))
@@ -181,9 +181,9 @@ for _registry in (QUERIES, ORACLE_SQL):
 @query(L.ledger("select event_id, check_id, event_type from ev"))
 def insert_new_rows(lab: Lab) -> DataFrame:
     """The second batch sent twice over the first: each event is there once."""
-    target = lab.first_events
-    twice = lab.second_events.unionByName(lab.second_events).unionByName(lab.first_events)
-    return target.unionByName(apply.insert_new(target, twice, ["event_id"])).select("event_id", "check_id", "event_type")
+    target, second = [events.select("event_id", "check_id", "event_type") for events in lab.stored_events]
+    twice = second.unionByName(second).unionByName(target)
+    return target.unionByName(apply.insert_new(target, twice, ["event_id"]))
 
 
 @query(L.ledger(f"select {_WHOLE} from occ"))

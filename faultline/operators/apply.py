@@ -97,17 +97,15 @@ def merged(target: DataFrame, changes: DataFrame, key: str = "occurrence_id") ->
 
     The workflow at close is the target's own at the moment it goes from Active to Archived.
     """
-    old = target.select(key, *[F.col(c).alias(f"_{c}") for c in (*PROTECTED, "record_status", "workflow_at_close")])
-    met = changes.join(old, key, "left")
-    closes = (F.col("_record_status") == "Active") & (F.col("record_status") == "Archived")
-    names = [c for c in target.columns if c not in (*PROTECTED, "workflow_at_close")]
-    known = F.col("_record_status").isNotNull()
-    changed = met.select(
-        *names,
-        *[F.when(known, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in PROTECTED],
-        F.when(closes, F.col("_workflow_status")).when(known, F.col("_workflow_at_close")).otherwise(F.col("workflow_at_close")).alias("workflow_at_close"),
-    )
-    return target.join(changes.select(key), key, "left_anti").unionByName(changed.select(*target.columns))
+    old, new = target.withColumn("_old", F.lit(True)), changes.withColumn("_new", F.lit(True))
+    met = old.alias("o").join(new.alias("n"), key, "full")
+    known, changed = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    closes = (F.col("o.record_status") == "Active") & (F.col("n.record_status") == "Archived")
+    of = lambda c: F.when(changed, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    own = lambda c: F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
+    at_close = F.when(closes, F.col("o.workflow_status")).otherwise(own("workflow_at_close"))
+    made = {key: F.col(key), "workflow_at_close": at_close.alias("workflow_at_close")} | {c: own(c).alias(c) for c in PROTECTED}
+    return met.select(*[made.get(c, of(c).alias(c)) for c in target.columns])
 
 
 def abandoned(runs: DataFrame, now: Column, minutes: int) -> DataFrame:

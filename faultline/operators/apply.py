@@ -87,9 +87,11 @@ def skip_late(items: DataFrame, executions: DataFrame, receipts: DataFrame, stat
 def insert_new(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of source whose key the target lacks, one per key: the least of its rows, column by column."""
     rest = [c for c in source.columns if c not in keys]
-    one = source.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_one")) if rest else source.distinct().withColumn("_one", F.lit(None))
-    found = one.select(*[F.col(c) if c in keys else F.col("_one")[c].alias(c) for c in source.columns])
-    return found.join(target.select(*keys), keys, "left_anti")
+    fresh = source.join(target.select(*keys), keys, "left_anti").select(*source.columns)
+    if not rest:
+        return fresh.distinct()
+    one = fresh.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_one"))
+    return one.select(*[F.col(c) if c in keys else F.col("_one")[c].alias(c) for c in source.columns])
 
 
 def merged(target: DataFrame, changes: DataFrame, key: str = "occurrence_id") -> DataFrame:

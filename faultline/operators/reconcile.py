@@ -66,11 +66,11 @@ def change_set(ledger: Ledger, frozen: dict, tracked: DataFrame, run_id: str, no
     executions, observations, every = mine("executions"), mine("observations"), ledger.read("occurrences", frozen)
     open_ = apply.in_scope(every, inputs, tracked)
     history = kept(apply.affected(every, replay.candidates(observations, open_)), "reconcile-history")
-    states = kept(replay.states(executions, observations, history), "reconcile-states")
+    states = replay.states(executions, observations, history, only_considered=True)
     changed = kept(replay.occurrences(states, history), "reconcile-changes")
     closed, closings = replay.removed_checks(every, tracked, now, run_id)
     events = replay.lifecycle_events(states, changed, history).unionByName(closings)
-    return changed.drop("episode").unionByName(closed), kept(shaped(replay.event_payloads(events, payload_mode), "events"), "reconcile-events")
+    return changed.drop("episode").unionByName(closed), shaped(replay.event_payloads(events, payload_mode), "events")
 
 
 def reconcile(ledger: Ledger, tracked: DataFrame, run_id: str, now: Column, payload_mode: str = "full") -> dict:
